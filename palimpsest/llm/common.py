@@ -52,11 +52,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset (a local session)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder.rstrip("/") if folder else f"/tmp/palimpsest-{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (the session's spark.checkpoint.dir, or one of our own where it is unset)."""
+    """Cut lineage: write `df` as a Parquet table in the shared folder and read it back. Unlike checkpoint(), the last stage runs once."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or f"/tmp/palimpsest-checkpoints-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
