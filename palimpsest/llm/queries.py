@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.pieces import op9_sentencepiece
+from palimpsest.llm.quality import op2_quality_rules
 from palimpsest.llm.sharding import op8_sharding
 from palimpsest.llm.simhash import op3_simhash_near_dedup
 from palimpsest.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
