@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.decontaminate import op5_decontamination
+from palimpsest.llm.line_dedup import op10_line_dedup
 from palimpsest.llm.pieces import op9_sentencepiece
 from palimpsest.llm.quality import op2_quality_rules
 from palimpsest.llm.sharding import op8_sharding
@@ -15,8 +17,10 @@ from palimpsest.llm.url_filter import OP7_SQL, op7_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
