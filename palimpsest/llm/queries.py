@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.chat import op6_chat_formatting
 from palimpsest.llm.decontaminate import op5_decontamination
 from palimpsest.llm.line_dedup import op10_line_dedup
 from palimpsest.llm.pieces import op9_sentencepiece
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
