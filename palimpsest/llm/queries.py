@@ -10,12 +10,14 @@ from palimpsest.llm.chat import op6_chat_formatting
 from palimpsest.llm.decontaminate import op5_decontamination
 from palimpsest.llm.line_dedup import op10_line_dedup
 from palimpsest.llm.pieces import op9_sentencepiece
+from palimpsest.llm.ppm import op1_lm_scoring
 from palimpsest.llm.quality import op2_quality_rules
 from palimpsest.llm.sharding import op8_sharding
 from palimpsest.llm.simhash import op3_simhash_near_dedup
 from palimpsest.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_decontamination": op5_decontamination,
