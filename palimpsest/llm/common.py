@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import string
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,17 @@ from pyspark.sql import functions as F
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it (a cluster that ships it as a file finds it anyway)."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    on_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
