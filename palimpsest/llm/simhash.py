@@ -57,15 +57,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (long: the 64 bits, signed) for every row of `df`; a text without words has fingerprint zero."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """id, hash (of the text), fp (long: the 64 bits, signed) for every row of `df`; a text without words has fingerprint zero."""
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = np.array([fingerprint(x.as_py(), k) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
+            found = np.array([fingerprint(x.as_py(), k) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text")).mapInArrow(run, "id long, hash long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -226,6 +226,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def labels(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root (the least fingerprint), component_id (the least id reachable) for each distinct fingerprint of `fps` (id, fp)."""
+    distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct.select("fp"), radius))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of `df` with its fingerprint (16 hex digits) and component_id, the smallest id reachable over links within `radius` bits.
 
@@ -233,12 +242,25 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_co
     component_id. Repeated rows stay, one result row each. An empty table gives an empty result; other columns of `df` are not read.
     """
     fps = saved(fingerprints(df, k, id_col, text_col))
-    distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), radius))
-    labels = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = labels.join(ids, "root").select("fp", "component_id")
-    return fps.join(told, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(labels(fps, radius), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near duplicates one row, with all columns of `df`: the one with the least id, then the least hash of its text.
+
+    Null ids come last. Of rows equal in id and text one stays. Links, components and winners are found on ids and
+    fingerprints; texts move once, to the rows that stay.
+    """
+    id_, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    fps = saved(fingerprints(df, k, id_col, text_col))
+    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    won = fps.join(labels(fps, radius), "fp").groupBy("root", "id", "hash").agg(F.count("*").alias("rows"))
+    won = saved(won.groupBy("root").agg(F.min_by(F.struct("id", "hash", "rows"), ranked).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash"), F.col("w.rows").alias("_rows")))
+    stay = df.columns
+    kept = df.withColumns({"_own_id": id_, "_own_hash": text_hash}).join(won, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
+    if won.where("_rows > 1").isEmpty():
+        return kept.select(*stay)
+    return kept.where("_rows = 1").select(*stay).unionByName(kept.where("_rows > 1").dropDuplicates(["_own_id", "_own_hash"]).select(*stay))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
