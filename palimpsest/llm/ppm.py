@@ -32,7 +32,7 @@ ORDER = 5
 START, END = b"\xfe", b"\xff"
 ALPHABET = 255  # all bytes but START
 BLOCK_BYTES, LEAST_BLOCKS = 40_000_000, 6
-CHUNK = 2 << 20
+CHUNK, TALLY_CHUNK = 256 << 10, 2 << 20
 FOLDS, HELD_OUT = 7, 2
 WORD, GRAM, TEXT = 0, 1, 2
 
@@ -63,15 +63,15 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return grams, np.cumsum(lengths) - lengths
 
 
-def chunks(texts: Iterator[tuple[int, bytes]], order: int = ORDER) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Numbers, grams and beginnings for some texts at a time; a text above CHUNK bytes comes in slices of its own."""
+def chunks(texts: Iterator[tuple[int, bytes]], order: int = ORDER, chunk: int = CHUNK) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbers, grams and beginnings for some texts at a time; a text above `chunk` bytes comes in slices of its own."""
     held: list[tuple[int, bytes]] = []
     size = 0
     for number, data in texts:
-        if len(data) > CHUNK:
+        if len(data) > chunk:
             full = np.frombuffer(START * order + data + END, np.uint8)
-            for at in range(0, len(full) - order, CHUNK):
-                part = full[at : at + CHUNK + order].astype(np.uint64)
+            for at in range(0, len(full) - order, chunk):
+                part = full[at : at + chunk + order].astype(np.uint64)
                 grams = part[: len(part) - order].copy()
                 for i in range(1, order + 1):
                     grams <<= np.uint64(8)
@@ -80,7 +80,7 @@ def chunks(texts: Iterator[tuple[int, bytes]], order: int = ORDER) -> Iterator[t
             continue
         held.append((number, data))
         size += len(data) + 1
-        if size >= CHUNK:
+        if size > chunk:
             yield [i for i, _ in held], *grams_of([t for _, t in held], order)
             held, size = [], 0
     if held:
@@ -97,11 +97,11 @@ class _Tally:
     def add(self, data: bytes, train: bool) -> None:
         self.waiting[train].append(data)
         self.sizes[train] += len(data) + 1
-        if self.sizes[train] >= CHUNK:
+        if self.sizes[train] >= TALLY_CHUNK:
             self.flush(train)
 
     def flush(self, train: bool) -> None:
-        for _, grams, _ in chunks(enumerate(self.waiting[train]), self.order):
+        for _, grams, _ in chunks(enumerate(self.waiting[train]), self.order, TALLY_CHUNK):
             keys, counts = np.unique(grams, return_counts=True)
             both = np.concatenate([self.keys, keys])
             order = np.argsort(both, kind="stable")
@@ -121,7 +121,7 @@ class Lookup:
     """Code lengths of grams in an open hash table, looked up for a whole array at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(10, math.ceil(math.log2(max(1, len(keys)) * 3)))
+        bits = max(10, math.ceil(math.log2(max(1, len(keys)) * 1.6)))
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits)
         slot, left = self._slots(keys), np.arange(len(keys))
