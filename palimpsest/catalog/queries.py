@@ -795,14 +795,14 @@ def _journal(v: Views) -> DataFrame:
     return rows.unionByName(rows.where("seq % 10 = 0")).drop("seq")
 
 
-@query("str_01_live_counts", "SELECT epoch_ms(CAST(floor(created_at / 3600) * 3600000 AS BIGINT)) AS window_start, CASE operation WHEN 'replace_text' THEN 'text-correction' WHEN 'time_nudge' THEN 'time-nudge' WHEN 'chunk_insert' THEN 'chunk-insert' WHEN 'mark' THEN 'mark' ELSE 'speaker-assign' END AS verb, sum(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS ops FROM fix_op GROUP BY ALL")
+@query("str_01_live_counts", "SELECT CAST(floor(created_at / 3600) * 3600 AS BIGINT) AS window_start, CASE operation WHEN 'replace_text' THEN 'text-correction' WHEN 'time_nudge' THEN 'time-nudge' WHEN 'chunk_insert' THEN 'chunk-insert' WHEN 'mark' THEN 'mark' ELSE 'speaker-assign' END AS verb, sum(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS ops FROM fix_op GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    return journal.live_counts(_journal(v))
+    return journal.live_counts(_journal(v)).withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 @query("str_02_replay", "SELECT id, source_id, correction_type, status, created_at FROM fix_op")
 def _(v: Views) -> DataFrame:
-    return journal.replay(_journal(v))["correction"].select("id", "source_id", "correction_type", "status", "created_at")
+    return journal.replay(_journal(v))["correction"].select("id", F.col("source_id").cast("long").alias("source_id"), "correction_type", "status", "created_at")
 
 
 @query("str_03_anchors", "SELECT 'd' || source_id AS id, count(*) AS n, min(idx) AS first_idx FROM fix_segment WHERE idx % 5 = 1 GROUP BY source_id")

@@ -176,7 +176,7 @@ def audio_chunks(effective: DataFrame, audio: DataFrame, keys: list[str] = KEYS)
 
 
 def gate_line(status: str = "extraction_status", watermark: str = "annotated_through") -> Column:
-    return F.when(F.col(status).isNull(), "in_progress · no gate").otherwise(F.concat(F.col(status), F.lit(" · annotated_through "), F.when(F.col(watermark).isNull(), "none").otherwise(F.format_string("%.1fs", F.col(watermark)))))
+    return F.when(F.col(status).isNull(), "in_progress · no gate").otherwise(F.concat(F.col(status), F.lit(" · annotated_through "), F.when(F.col(watermark).isNull(), "none").otherwise(F.format_string("%.1fs", F.bround(watermark, 1)))))
 
 
 def worklist_line() -> Column:

@@ -83,23 +83,49 @@ def cluster_variants(words: DataFrame, word: str = "word", order: str = "pos", m
     rows = words.select(T.strip(F.col(word)).alias("word"), F.col(order).alias("at")).where("word <> ''")
     rows = rows.groupBy("word").agg(F.min("at").alias("at")).withColumn("key", T.phonetic_key(F.col("word"))).where("key <> ''")
 
-    def lead(group: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[str]] = []
-        near: dict[str, list[int]] = {}  # what is left of first members by up to max_edits deletions
-        for w in group.sort_values(["at", "word"])["word"]:
-            own = w.lower()
-            cuts = _deletions(own, max_edits)
-            for c in sorted({c for x in cuts for c in near.get(x, ())}):
-                if _within(clusters[c][0].lower(), own, max_edits):
-                    clusters[c].append(w)
-                    break
-            else:
-                for x in cuts:
-                    near.setdefault(x, []).append(len(clusters))
-                clusters.append([w])
-        return pd.DataFrame([(c[0], i, w) for c in clusters if len(c) > 1 for i, w in enumerate(c)], columns=["cluster", "pos", "word"])
-
-    return rows.groupBy("key").applyInPandas(lead, "cluster string, pos long, word string")
+    def lead(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaders = None, _Leaders(max_edits)
+        for part in it:
+            out: list[tuple] = []
+            for key, word in zip(part["key"], part["word"], strict=True):
+                if key != now:
+                    out += leaders.told()
+                    now, leaders = key, _Leaders(max_edits)
+                leaders.add(word)
+            yield pd.DataFrame(out, columns=["cluster", "pos", "word"])
+        yield pd.DataFrame(leaders.told(), columns=["cluster", "pos", "word"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "at", "word").select("key", "word").mapInPandas(lead, "cluster string, pos long, word string")
+
+
+#: Longer words are compared one by one; what deletions leave of them would be too much.
+SHORT = 24
+
+
+class _Leaders:
+    """Clusters of one phonetic key. What is left of short first members by deletions finds the near ones, so most pairs are never compared."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.clusters, self.near, self.long = most, [], {}, []
+
+    def add(self, word: str) -> None:
+        own = word.lower()
+        cuts = _deletions(own, self.most) if len(own) <= SHORT else set()
+        home = {c for x in cuts for c in self.near.get(x, ())}
+        if len(own) + self.most > SHORT:
+            home.update(self.long)
+        for c in sorted(home):
+            if _within(self.clusters[c][0].lower(), own, self.most):
+                self.clusters[c].append(word)
+                return
+        for x in cuts:
+            self.near.setdefault(x, []).append(len(self.clusters))
+        if len(own) + self.most > SHORT:
+            self.long.append(len(self.clusters))
+        self.clusters.append([word])
+
+    def told(self) -> list[tuple]:
+        return [(c[0], i, w) for c in self.clusters if len(c) > 1 for i, w in enumerate(c)]
 
 
 def _deletions(word: str, most: int) -> set[str]:
