@@ -42,7 +42,6 @@ class Items:
         self.words = [len(ws) for _, ws in items]
         self.prints = np.array([majority(h) for h in self.hashes], np.uint64)
         every = np.concatenate(self.hashes)
-        self.known = np.unique(every)
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.maybe[every >> np.uint64(64 - TABLE_BITS)] = True
         self.owners: dict[int, list[int]] = {}
@@ -58,12 +57,9 @@ class Items:
         if not len(hashes):
             return []
         hits = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - TABLE_BITS)])
-        hits = hits[np.isin(hashes[hits], self.known)] if len(hits) else hits
-        if not len(hits):
-            return []
         at: dict[int, list[int]] = {}
-        for p in hits.tolist():
-            for k in self.owners[int(hashes[p])]:
+        for p, h in zip(hits.tolist(), hashes[hits].tolist(), strict=True):
+            for k in self.owners.get(h, ()):
                 at.setdefault(k, []).append(p)
         by_length: dict[int, set[int]] = {}
         for k in at:
