@@ -6,7 +6,7 @@ fingerprint of its own kind. The first occurrence of a fingerprint - by document
 others are joined to it, and each match is extended both ways over the two documents' line hashes. A line goes if some run that holds it
 begins earlier elsewhere, so the first occurrence of every deleted line stays.
 
-Only line hashes move between stages; texts move once, to be rewritten.
+Only line hashes move between stages; texts move once, to be rewritten, by the same sort-merge join at every size.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stay = [c for c in df.columns if c not in new]
     runs = saved(repeated_runs(df, id_col, text_col)).select(F.col("id").alias("_own_id"), F.col("hash").alias("_own_hash"), F.col("runs").alias("_runs"))
     keyed = df.select(*stay, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
-    joined = keyed.join(runs, (F.col("_id") == F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left").select(*stay, "_runs")
+    joined = keyed.join(runs.hint("merge"), (F.col("_id") == F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left").select(*stay, "_runs")
     at = stay.index(text_col)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,7 +249,7 @@ def keep_one(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str
     """Of each component of near duplicates one row, with all columns of `df`: the one with the least id, then the least hash of its text.
 
     Null ids come last. Of rows equal in id and text one stays. Links, components and winners are found on ids and
-    fingerprints; texts move once, to the rows that stay.
+    fingerprints; texts move once, by the same sort-merge join at every size, to the rows that stay.
     """
     id_, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     fps = saved(fingerprints(df, k, id_col, text_col))
@@ -257,7 +257,7 @@ def keep_one(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str
     won = fps.join(labels(fps, radius), "fp").groupBy("root", "id", "hash").agg(F.count("*").alias("rows"))
     won = saved(won.groupBy("root").agg(F.min_by(F.struct("id", "hash", "rows"), ranked).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash"), F.col("w.rows").alias("_rows")))
     stay = df.columns
-    kept = df.withColumns({"_own_id": id_, "_own_hash": text_hash}).join(won, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
+    kept = df.withColumns({"_own_id": id_, "_own_hash": text_hash}).join(won.hint("merge"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
     if won.where("_rows > 1").isEmpty():
         return kept.select(*stay)
     return kept.where("_rows = 1").select(*stay).unionByName(kept.where("_rows > 1").dropDuplicates(["_own_id", "_own_hash"]).select(*stay))
