@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import saved, table
 
 RUN, WINDOW, SOLO_CHARS = 2, 3, 64
+DEALT = 256
 SPACES = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 
@@ -109,9 +110,15 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spots = measured.select("id", "hash", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("id", "hash", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
     first = spots.groupBy("key").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id2"), F.col("first.hash").alias("hash2"), F.col("first.at").alias("at2"))
     later = spots.join(first, "key").where("id <> id2 OR hash <> hash2 OR at <> at2")
-    pairs = later.groupBy("id", "hash", "id2", "hash2").agg(F.collect_list(F.struct("at", "at2")).alias("pairs"))  # as many as a document has fingerprints at most
+    pairs = saved(later.groupBy("id", "hash", "id2", "hash2").agg(F.collect_list(F.struct("at", "at2")).alias("pairs")))  # as many as a document has fingerprints at most
     lines = measured.select("id", "hash", "lines").dropDuplicates(["id", "hash"])
-    both = pairs.join(lines, ["id", "hash"]).join(lines.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), F.col("lines").alias("lines2")), ["id2", "hash2"])
+    # a document that owns a very common line is dealt in parts, with a copy of its line hashes for each
+    owner = ["id2", "hash2"]
+    often = pairs.groupBy(*owner).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 1")
+    dealt = lambda df: df.join(often, owner, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    copies = dealt(lines.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), F.col("lines").alias("lines2"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    parted = dealt(pairs).withColumn("part", F.pmod(F.xxhash64("id", "hash"), "parts").cast("int")).drop("parts")
+    both = parted.join(lines, ["id", "hash"]).join(copies, [*owner, "part"])
     out = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
