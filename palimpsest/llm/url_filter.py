@@ -137,13 +137,12 @@ def _fits(verdict: str, levels: list[Level]) -> Column:
 
 
 def _judge_by_join(keyed: DataFrame, rules: list[tuple[str, str, str]], id_col: str) -> DataFrame:
-    """For lists too long for literals: the same verdicts by a join on the key; the best of a row is gathered by a row number of its own."""
+    """For lists too long for literals: the same verdicts by a join on the key; the best rule of each distinct (id, host, path) is joined back."""
     listed = keyed.sparkSession.createDataFrame([(f"{h}\x01{p}", v) for v, h, p in rules], "key string, verdict string")
-    spread = keyed.withColumn("row", F.xxhash64("id", "host", "path"))
-    found = spread.select("row", "id", "host", "path", F.explode("keys").alias("key")).join(listed, "key")
-    best = found.groupBy("row", "id", "host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "\x01", 1)).alias("m"), "key", "verdict")).alias("best"))
-    on = [spread[c].eqNullSafe(best[c]) for c in ("row", "id", "host", "path")]
-    return _told(spread.join(best, functools.reduce(lambda a, b: a & b, on), "left").select(spread["id"], spread["host"], spread["path"], "best"), id_col)
+    found = keyed.select("id", "host", "path", F.explode("keys").alias("key")).join(listed, "key")
+    best = found.groupBy(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "\x01", 1)).alias("m"), "key", "verdict")).alias("best"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
+    return _told(keyed.join(best, on, "left"), id_col)
 
 
 def _told(df: DataFrame, id_col: str) -> DataFrame:
