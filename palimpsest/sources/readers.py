@@ -90,7 +90,7 @@ def find_proposal_set(spark: SparkSession, root: str, content_hash: str | None =
 
 def load_manifest(spark: SparkSession, path: str, workspace: str | None = None, fmt: str | None = None) -> dict[str, Any]:
     """A JSON document through Spark's file systems; ${WS}/ tokens become paths of the workspace. Another format than `fmt` is noted under '_warning'."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     if workspace is not None:
         text = text.replace(TOKEN, json.dumps(workspace.rstrip("/") + "/")[1:-1])
     made = json.loads(text)
@@ -133,7 +133,7 @@ def segment_anchor(segments: DataFrame, sources: DataFrame, ids: DataFrame) -> D
 def view_state(spark: SparkSession, path: str) -> dict[str, Any]:
     """A sidecar of view settings; {} where it is missing or broken."""
     try:
-        return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     except (PySparkException, TypeError, ValueError):
         return {}
 
