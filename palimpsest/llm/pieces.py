@@ -133,12 +133,18 @@ def _each_bad_byte(data: bytes) -> str:
 
 
 class _Memo(dict):
-    def __init__(self, make: Callable[[str], object]) -> None:
-        super().__init__()
-        self.make = make
+    """What has been made of units. A full memo becomes the old one, and what is still in use comes back from it: frequent units stay, and two memos are all there is."""
 
-    def __missing__(self, unit: str) -> object:
-        self[unit] = made = self.make(unit)
+    def __init__(self, make: Callable[[str], str]) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, unit: str) -> str:
+        if len(self) >= MEMO_UNITS:
+            self.old = dict(self)
+            self.clear()
+        made = self.old.get(unit)
+        self[unit] = made = self.make(unit) if made is None else made
         return made
 
 
@@ -147,17 +153,23 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.model = MergeModel(path)
-        self.coded = _Memo(lambda unit: "".join(f"{i} " for i in self.model.encode_unit(unit)))
-        self.plain = _Memo(lambda unit: self.model.decode_raw([int(i) for i in self.coded[unit].split()]))
+        self.coded = _Memo(self._code)
+        #: Units that don't decode to themselves with marks as spaces. None is known to exist in a model that has all bytes.
+        self.odd: set[str] = set()
+
+    def _code(self, unit: str) -> str:
+        ids = self.model.encode_unit(unit)
+        if self.model.decode_raw(ids) != unit.replace(MARK, " "):
+            self.odd.add(unit)
+        return "".join([f"{i} " for i in ids])
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
         text = text or ""
-        if len(self.coded) > MEMO_UNITS:
-            self.coded.clear()
-            self.plain.clear()
         units = self.model.split(text)
         ids = "".join(map(self.coded.__getitem__, units)) + str(self.model.end)
-        decoded = "".join(map(self.plain.__getitem__, units))
+        if self.odd.isdisjoint(units):
+            return ids.count(" ") + 1, ids, text.replace(MARK, " ")
+        decoded = "".join([self.model.decode_raw([int(i) for i in self.coded[u].split()]) if u in self.odd else u.replace(MARK, " ") for u in units])
         return ids.count(" ") + 1, ids, decoded.removeprefix(" ")
 
     def check(self, text: str, ids: str, decoded: str) -> None:
