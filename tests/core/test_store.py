@@ -136,7 +136,7 @@ def test_proposal_sets_are_found_by_source_or_content(spark, root):
     shape = lambda n, at, **kw: {"format": readers.PROPOSAL_FORMAT, "proposal_set_id": n, "created_at": at, "source": kw, "files": {"proposals": "rows.jsonl"}}
     for n, at, kw in (("old", 1.0, {"source_id": "src"}), ("new", 2.0, {"content_hash": "h"}), ("other", 3.0, {"source_id": "else"})):
         readers.save_manifest(spark, f"{root}/proposals/{n}/manifest.json", shape(n, at, **kw))
-        readers.save_manifest(spark, f"{root}/proposals/{n}/rows.jsonl", {"proposal_id": n, "label": "x", "start_time": 0.0, "end_time": 1.0, "score": 0.0})
+        spark.createDataFrame([(n, "x", 0.0, 1.0, 0.0)], "proposal_id string, label string, start_time double, end_time double, score double").write.json(f"{root}/proposals/{n}/rows.jsonl")
     found = readers.find_proposal_set(spark, root, "h", "src")
     assert found[0]["proposal_set_id"] == "new"
     assert readers.find_proposal_set(spark, root, None, "src")[0]["proposal_set_id"] == "old"
