@@ -9,13 +9,13 @@ over evolving texts; only segments that shifts touch, in islands that no shift c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.lineage import cut
+from palimpsest.operators.groups import fold_groups
 from palimpsest.operators.ordering import bucket_of, latest_by, scan
 from palimpsest.operators.overlay import active, created, latest_texts
 from palimpsest.schemas import DIRECTIONS, EDGES
@@ -85,18 +85,18 @@ def shifted_texts(segments: DataFrame, edits: DataFrame, keys: list[str] = KEYS)
     rows = rows.unionByName(replaced.select(*head, F.lit(1).alias("kind"), "id", none.alias("right_id"), "text", none.alias("direction"), created().alias("at"), "seq"))
     rows = rows.unionByName(shifts.select(*head, F.lit(1).alias("kind"), F.col("left_id").alias("id"), "right_id", "text", "direction", created().alias("at"), "seq"))
 
-    def fold(island: pd.DataFrame) -> pd.DataFrame:
+    def fold(_: tuple, island: list[tuple]) -> list[tuple]:
         texts: dict[str, str] = {}
-        for r in island.sort_values(["kind", "at", "seq"], kind="stable").itertuples():
-            if r.right_id is None:
-                texts[r.id] = r.text or ""
-            else:
-                moved = move_words(texts[r.id], texts[r.right_id], r.text or "", r.direction)
-                if moved != (texts[r.id].rstrip(), texts[r.right_id].lstrip()):
-                    texts[r.id], texts[r.right_id] = moved
-        return pd.DataFrame({"id": list(texts), "text": list(texts.values())})
-
-    return rows.groupBy(*head).applyInPandas(fold, "id string, text string")
+        for _, id_, right_id, text, direction, _, _ in island:
+            if right_id is None:
+                texts[id_] = text or ""
+                continue
+            moved = move_words(texts[id_], texts[right_id], text or "", direction)
+            if moved != (texts[id_].rstrip(), texts[right_id].lstrip()):
+                texts[id_], texts[right_id] = moved
+        return list(texts.items())
+
+    return fold_groups(rows, head, ["kind", "at", "seq", "id"], fold, "id string, text string")
 
 
 def replaced_texts(edits: DataFrame) -> DataFrame:

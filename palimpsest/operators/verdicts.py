@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.lineage import cut
+from palimpsest.operators.groups import fold_groups
 from palimpsest.operators.ordering import bucket_of, scan
 
 KEYS = ["source_id"]
@@ -35,22 +35,23 @@ def match(proposals: DataFrame, inserts: DataFrame, window: tuple[float, float |
     rows = rows.withColumn("_opens", F.when(F.col("_before").isNull() | (F.col("mid") - F.col("_before") >= radius), F.col("mid")))
     rows = scan(rows, keys, order, {"_home": ("last", F.col("_opens"))}, bucket_of("mid")).withColumn("island", F.coalesce("_opens", "_home"))
 
-    def greedy(island: pd.DataFrame) -> pd.DataFrame:
-        humans = island[island.kind == 1].sort_values(["start_time", "end_time", "id"])
-        free = dict(enumerate(zip(humans.id, humans.label, humans.mid, strict=True)))
+    def greedy(key: tuple, island: list[tuple]) -> list[tuple]:
         out: list[tuple] = []
+        free = {n: r for n, r in enumerate(island) if r[0] == 1}
         for tier in (1, 2):
-            mine = island[(island.kind == 0) & (island.tier == tier)].sort_values(["start_time", "id"])
-            open_ = dict(enumerate(zip(mine.id, mine.label, mine.mid, strict=True)))
+            open_ = {n: r for n, r in enumerate(island) if r[0] == 0 and r[6] == tier}
             for same in (True, False):
-                near = sorted((abs(h[2] - p[2]), i, j) for i, p in open_.items() for j, h in free.items() if abs(h[2] - p[2]) < radius and (not same or h[1] == p[1]))
+                near = sorted((abs(h[7] - p[7]), i, j) for i, p in open_.items() for j, h in free.items() if abs(h[7] - p[7]) < radius and (not same or h[2] == p[2]))
                 for _, i, j in near:
                     if i in open_ and j in free:
-                        out.append((*(island[k].iloc[0] for k in keys), open_.pop(i)[0], free.pop(j)[0]))
-        return pd.DataFrame(out, columns=[*keys, "proposal_id", "insert_id"])
+                        out.append((*key[:-1], open_.pop(i)[1], free.pop(j)[1]))
+        return out
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys, "island").applyInPandas(greedy, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "proposal_id string", "insert_id string"]))
+    # proposals by start and id, inserts by start, end and id: the order that breaks ties
+    rows = rows.withColumn("by_end", F.when(F.col("kind") == 1, F.col("end_time")).otherwise(0.0))
+    rows = rows.select(*keys, "island", "kind", "id", "label", "start_time", "by_end", "end_time", "tier", "mid")
+    return fold_groups(rows, [*keys, "island"], ["kind", "start_time", "by_end", "id"], greedy, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "proposal_id string", "insert_id string"]))
 
 
 class Bench:
