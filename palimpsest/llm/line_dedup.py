@@ -1,8 +1,9 @@
 """Repeated runs of lines: winnowed fingerprints find them, extension gives their full length, later occurrences go.
 
 A fingerprint is the hash of RUN consecutive lines; of every WINDOW such hashes in a row the least is selected, so each run of
-RUN + WINDOW - 1 lines that also stands elsewhere holds a selected fingerprint. A line of SOLO_CHARS characters or more is a run by itself and a
-fingerprint of its own kind. The first occurrence of a fingerprint - by document, then by line - is found by an aggregation that combines map-side, the
+RUN + WINDOW - 1 lines that also stands elsewhere holds a selected fingerprint. Each RUN + WINDOW - 1 lines in a row are a fingerprint
+of another kind, so that a run of this length is matched with its own first occurrence, whoever owns the shorter runs in it. A line of
+SOLO_CHARS characters or more is a run by itself and a fingerprint of its own kind. The first occurrence of a fingerprint - by document, then by line - is found by an aggregation that combines map-side, the
 others are joined to it, and each match is extended both ways over the two documents' line hashes. A line goes if some run that holds it
 begins earlier elsewhere, so the first occurrence of every deleted line stays.
 
@@ -32,13 +33,13 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.strip(SPACES).encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
 
 
-def run_hashes(lines: np.ndarray) -> np.ndarray:
-    """A hash for each RUN consecutive lines (for each line where there are fewer: none)."""
-    n = len(lines) - RUN + 1
+def run_hashes(lines: np.ndarray, length: int = RUN) -> np.ndarray:
+    """A hash for each `length` consecutive lines (for each line where there are fewer: none)."""
+    n = len(lines) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    for i in range(RUN):
+    for i in range(length):
         out = (out ^ lines[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(32)
     return out
@@ -69,6 +70,11 @@ def fingerprint_lines(text: str) -> tuple[np.ndarray, list[int], list[int]]:
         if filled[i : i + RUN].any():
             keys.append(int(runs[i]))
             at.append(i)
+    whole = RUN + WINDOW - 1
+    for i, key in enumerate(run_hashes(hashes, whole).tolist()):
+        if filled[i : i + whole].any():
+            keys.append(key ^ 0x3333333333333333)
+            at.append(i)
     for i in np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) >= SOLO_CHARS).tolist():
         if filled[i]:
             keys.append(int(hashes[i]) ^ 0x5555555555555555)  # another kind of key than a run's

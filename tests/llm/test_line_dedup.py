@@ -95,3 +95,30 @@ def test_every_run_of_guaranteed_length_is_found():
         texts = ["\n".join([f"{d}-{rng.random()}" for _ in range(rng.randrange(6))] + shared + [f"{d}-{rng.random()}" for _ in range(rng.randrange(6))]) for d in range(2)]
         a, b = (set(L.fingerprint_lines(t)[1]) for t in texts)
         assert a & b
+
+
+def every_run(texts, length):
+    """Lines of each text in some run of `length` lines that stands earlier, by comparing every two places."""
+    seen, gone = set(), []
+    for text in texts:
+        lines, own = text.split("\n"), set()
+        for i in range(len(lines) - length + 1):
+            run = tuple(lines[i : i + length])
+            if run in seen and any(run):
+                own.update(range(i, i + length))
+            seen.add(run)
+        gone.append(own)
+    return gone
+
+
+def test_all_repeated_runs_go_whoever_owns_their_parts(spark):
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    for n in range(40):
+        whole = [f"{c} {n}" for c in "wxyz"]
+        texts += ["\n".join(x) for x in (whole[1:3], whole, whole)]
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["n_removed_lines"] for r in L.dedup_lines(df).collect()}
+    least = every_run(texts, L.RUN + L.WINDOW - 1)
+    assert all(got[i] >= len(own) for i, own in enumerate(least))
+    assert [got[i] for i in range(62, 180, 3)] == [4] * 40
