@@ -66,8 +66,9 @@ def fingerprint_lines(text: str) -> tuple[np.ndarray, list[int], list[int]]:
     filled = np.array([bool(x.strip(SPACES)) for x in lines], bool)
     runs = run_hashes(hashes)
     keys, at = [], []
-    for i in minima(runs):
-        if filled[i : i + RUN].any():
+    some = np.convolve(filled, np.ones(RUN, int), "valid") > 0 if len(runs) else np.zeros(0, bool)
+    for i in minima(np.where(some, runs, np.uint64(2**64 - 1))):  # a blank run takes no other's place in a window
+        if some[i]:
             keys.append(int(runs[i]))
             at.append(i)
     whole = RUN + WINDOW - 1

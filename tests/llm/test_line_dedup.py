@@ -122,3 +122,9 @@ def test_all_repeated_runs_go_whoever_owns_their_parts(spark):
     least = every_run(texts, L.RUN + L.WINDOW - 1)
     assert all(got[i] >= len(own) for i, own in enumerate(least))
     assert [got[i] for i in range(62, 180, 3)] == [4] * 40
+
+
+def test_blank_runs_take_no_fingerprint_away():
+    for n in range(50):
+        hashes, keys, _ = L.fingerprint_lines(f"a {n}\n\n\nb {n}")
+        assert set(keys) & set(L.run_hashes(hashes).tolist())
