@@ -9,19 +9,23 @@ The trie is never in one place. Its edges are the distinct (ORDER + 1)-grams of
 the one above; what a context and its exclusions come to is joined to it. All grams of the corpus get their code length by one join for each level, and
 only grams that are still undecided go down a level.
 
-Documents are dealt into blocks of some 40 MB of text. A block says which words and grams it has, gets back their counts and code lengths, and scores its
-documents by table look-ups. So what moves is a block's vocabulary, not a row for each word of each document, and a task holds
-one block's vocabulary at most; documents stream.
+Documents are dealt into blocks of some 40 MB of text, and a block is read in the order of a hash of its documents. A stretch of it ends when its
+distinct grams or its distinct words pass a bound, so what a task holds is bounded by MOST_GRAMS and MOST_WORD_BYTES and the longest
+document, whatever the text is like. A stretch says which words and grams it has, gets back their counts and code lengths, and scores its
+documents by table look-ups. So what moves is a stretch's vocabulary, not a row for each word of each document; documents
+stream, and long ones are read in slices. Words and grams are held in arrays, not as Python objects.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +36,12 @@ ORDER = 5
 START, END = b"\xfe", b"\xff"
 ALPHABET = 255  # all bytes but START
 BLOCK_BYTES, LEAST_BLOCKS = 40_000_000, 6
-CHUNK, TALLY_CHUNK = 256 << 10, 2 << 20
+CHUNK, TALLY_CHUNK = 256 << 10, 1 << 20
+MOST_GRAMS, MOST_WORD_BYTES, WORD_CHUNK = 2_000_000, 24_000_000, 50_000
+NO_PLACE = -(2**63)
 FOLDS, HELD_OUT = 7, 2
 WORD, GRAM, TEXT = 0, 1, 2
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def folded(text: str | None) -> bytes:
@@ -45,6 +52,17 @@ def is_held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
+def word_slices(data: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
+    """The words of a text, some `size` bytes at a time: a slice ends in white space."""
+    at = 0
+    while len(data) - at > size:
+        found = SPACE.search(data, at + size)
+        end = found.start() if found else len(data)
+        yield data[at:end].split()
+        at = end
+    yield data[at:].split()
+
+
 def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The packed (order + 1)-grams of each coded symbol of the texts in a row, and where each text's grams begin."""
     joined = b"".join(x for t in texts for x in (START * order, t, END))
@@ -88,7 +106,7 @@ def chunks(texts: Iterator[tuple[int, bytes]], order: int = ORDER, chunk: int =
 
 
 class _Tally:
-    """Distinct grams of one block with their counts in training texts."""
+    """Distinct grams of one stretch, in order, with their counts in training texts."""
 
     def __init__(self, order: int) -> None:
         self.order, self.waiting, self.sizes = order, {True: [], False: []}, {True: 0, False: 0}
@@ -103,89 +121,128 @@ class _Tally:
     def flush(self, train: bool) -> None:
         for _, grams, _ in chunks(enumerate(self.waiting[train]), self.order, TALLY_CHUNK):
             keys, counts = np.unique(grams, return_counts=True)
-            both = np.concatenate([self.keys, keys])
-            order = np.argsort(both, kind="stable")
-            values = np.concatenate([self.counts, counts * train])[order]
-            both = both[order]
-            starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            self.keys, self.counts = both[starts], np.add.reduceat(values, starts)
+            counts *= train
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == keys[inside]
+            self.counts[at[known]] += counts[known]
+            self.keys, self.counts = np.insert(self.keys, at[~known], keys[~known]), np.insert(self.counts, at[~known], counts[~known])
         self.waiting[train], self.sizes[train] = [], 0
 
+    def most(self) -> int:
+        """No more distinct grams than that."""
+        return len(self.keys) + sum(self.sizes.values())
+
     def told(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush(True)
         self.flush(False)
         return self.keys, self.counts
 
 
+class _Words:
+    """Distinct words of one stretch with their counts in training texts, in Arrow arrays; at most WORD_CHUNK or so wait as Python objects."""
+
+    def __init__(self) -> None:
+        self.counts, self.others = Counter(), set()
+        self.merged, self.parts, self.new = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())}), [], 0
+
+    def add(self, data: bytes, train: bool) -> None:
+        for words in word_slices(data):
+            (self.counts if train else self.others).update(words)
+            if len(self.counts) + len(self.others) >= WORD_CHUNK:
+                self.flush()
+
+    def flush(self) -> None:
+        words = [*self.counts, *self.others]
+        self.parts.append(pa.table({"word": pa.array(words, pa.binary()), "n": pa.array([*self.counts.values(), *([0] * len(self.others))], pa.int64())}))
+        self.counts, self.others = Counter(), set()
+        self.new += len(words)
+        if self.new > self.merged.num_rows // 2:
+            self.merge()
+
+    def merge(self) -> None:
+        self.merged = pa.concat_tables([self.merged, *self.parts]).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+        self.parts, self.new = [], 0
+
+    def size(self) -> int:
+        return self.merged.nbytes + sum(p.nbytes for p in self.parts)
+
+    def told(self) -> pa.Table:
+        self.flush()
+        self.merge()
+        return self.merged
+
+
 class Lookup:
-    """Code lengths of grams in an open hash table, looked up for a whole array at once."""
+    """Code lengths of grams (each once) in an open hash table of their numbers, looked up for a whole array at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(10, math.ceil(math.log2(max(1, len(keys)) * 1.6)))
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
-        self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits)
-        slot, left = self._slots(keys), np.arange(len(keys))
+        self.keys, self.values, self.item = keys, values, np.full(1 << bits, -1, np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys), dtype=np.int32)
         while len(left):
-            own = slot[left]
-            free = self.keys[own] == np.uint64(2**64 - 1)
-            spots, first = np.unique(own[free], return_index=True)
-            placed = left[free][first]
-            self.keys[spots], self.values[spots] = keys[placed], values[placed]
-            done = np.zeros(len(keys), bool)
-            done[placed] = True
-            left = left[~done[left]]
-            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+            free = self.item[slot] < 0
+            self.item[slot[free]] = left[free]  # of several for one slot the last is in
+            stay = self.item[slot] != left
+            left, slot = left[stay], (slot[stay] + np.uint64(1)) & self.mask
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slots(keys)
-        out = self.values[slot]
-        left = np.flatnonzero(self.keys[slot] != keys)
+        item = self.item[slot]
+        left = np.flatnonzero((item < 0) | (self.keys[item] != keys))
         slot = slot[left]
         while len(left):
             slot = (slot + np.uint64(1)) & self.mask
-            found = self.keys[slot] == keys[left]
-            out[left[found]] = self.values[slot[found]]
-            left, slot = left[~found], slot[~found]
-            if len(left) and (self.keys[slot] == np.uint64(2**64 - 1)).any():
+            now = self.item[slot]
+            if (now < 0).any():
                 raise KeyError("a gram without a code length")
-        return out
+            found = self.keys[now] == keys[left]
+            item[left[found]] = now[found]
+            left, slot = left[~found], slot[~found]
+        return self.values[item]
 
 
 def vocabulary(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind, block, word, gram, n: the distinct words and grams of each block with their counts in its training texts."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+    """kind, block, place, word, gram, n: the distinct words and grams of each stretch with their counts in its training texts.
+
+    `docs` has block, place, held_out and text. A stretch is all documents of a block from a place on up to the next one's; the first begins at NO_PLACE.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("place", pa.int64()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def told(block: int, place: int, words: _Words, tally: _Tally) -> Iterator[pa.RecordBatch]:
+        def batch(kind: int, word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array(np.full(len(n), place, np.int64)), pa.nulls(len(n), pa.binary()) if word is None else word, pa.nulls(len(n), pa.int64()) if gram is None else gram, n], schema=schema)
 
-    def told(block: int, counts: Counter, others: set, tally: _Tally) -> Iterator[pa.RecordBatch]:
-        others.difference_update(counts)
-        words = [*counts, *others]
-        numbers = [*counts.values(), *([0] * len(others))]
+        for part in words.told().to_batches(max_chunksize=50_000):
+            yield batch(WORD, part.column(0), None, part.column(1))
         grams, n = tally.told()
-        for at in range(0, len(words), 50_000):
-            own = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([WORD] * len(own), pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array(own, pa.binary()), pa.nulls(len(own), pa.int64()), pa.array(numbers[at : at + 50_000], pa.int64())], schema=schema)
         for at in range(0, len(grams), 50_000):
-            own = grams[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), GRAM, np.int32)), pa.array(np.full(len(own), block, np.int32)), pa.nulls(len(own), pa.binary()), pa.array(own.view(np.int64)), pa.array(n[at : at + 50_000])], schema=schema)
+            yield batch(GRAM, None, pa.array(grams[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts, others, tally = None, Counter(), set(), _Tally(order)
+        now, begin, last, words, tally = None, NO_PLACE, None, _Words(), _Tally(order)
         for batch in it:
-            for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if block != now:
+            for block, place, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                full = place != last and (tally.most() > MOST_GRAMS or words.size() > MOST_WORD_BYTES)
+                if block != now or full:
                     if now is not None:
-                        yield from told(now, counts, others, tally)
-                    now, counts, others, tally = block, Counter(), set(), _Tally(order)
+                        yield from told(now, begin, words, tally)
+                    begin = NO_PLACE if block != now else place
+                    now, words, tally = block, _Words(), _Tally(order)
+                last = place
                 data = folded(text.as_py())
-                (others if held else counts).update(data.split())
+                words.add(data, not held)
                 tally.add(data, not held)
         if now is not None:
-            yield from told(now, counts, others, tally)
+            yield from told(now, begin, words, tally)
 
-    dealt = docs.select("block", "held_out", "text").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "kind int, block int, word binary, gram long, n long")
+    dealt = docs.select("block", "place", "held_out", "text").repartition("block").sortWithinPartitions("block", "place")
+    return dealt.mapInArrow(run, "kind int, block int, place long, word binary, gram long, n long")
 
 
 def _suffix(col: str, symbols: int) -> Column:
@@ -240,63 +297,79 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), is_held_out(F.col(id_col)).alias("held_out"))
     size, trained = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     blocks = LEAST_BLOCKS + size // BLOCK_BYTES
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    docs = docs.withColumn("place", F.xxhash64("id", "text")).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
     found = saved(vocabulary(docs, order))
     same = W.partitionBy("word")
-    words = saved(found.where(F.col("kind") == WORD).select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")))
+    words = saved(found.where(F.col("kind") == WORD).select("block", "place", "word", F.sum("n").over(same).alias("c"), (F.struct("block", "place") == F.min(F.struct("block", "place")).over(same)).alias("first")))
     total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + trained, distinct + (trained > 0)
-    grams = found.where(F.col("kind") == GRAM).select("block", "gram", "n")
+    grams = found.where(F.col("kind") == GRAM).select("block", "place", "gram", "n")
     lengths = code_lengths(saved(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order)
-    columns = {"kind": "int", "block": "int", "word": "binary", "gram": "long", "value": "double", "id": "long", "held_out": "boolean", "text": "string"}
+    columns = {"kind": "int", "block": "int", "place": "long", "word": "binary", "gram": "long", "value": "double", "id": "long", "held_out": "boolean", "text": "string"}
 
     def shaped(x: DataFrame, kind: int) -> DataFrame:
         return x.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in x.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
 
-    every = shaped(words.select("block", "word", F.log10(F.col("c") + 1).alias("value")), WORD)
-    every = every.union(shaped(grams.select("block", "gram").join(lengths, "gram"), GRAM)).union(shaped(docs, TEXT))
-    dealt = every.repartition("block").sortWithinPartitions("block", "kind")
+    every = shaped(words.select("block", "place", "word", F.log10(F.col("c") + 1).alias("value")), WORD)
+    every = every.union(shaped(grams.select("block", "place", "gram").join(lengths, "gram"), GRAM)).union(shaped(docs, TEXT))
+    dealt = every.repartition("block").sortWithinPartitions("block", "place", "kind")
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_symbols", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, values, parts, lookup = None, {}, [], None
+        now, words, grams, lookups = None, [], [], None
         for batch in it:
-            kinds, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1])) + 1
+            kinds, own, places = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]) | (places[1:] != places[:-1]) & (kinds[1:] != TEXT)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if own[a] != now:
-                    now, values, parts, lookup = own[a], {}, [], None
+                if kinds[a] != TEXT and (own[a], places[a]) != now:
+                    now, words, grams, lookups = (own[a], places[a]), [], [], None
                 if kinds[a] == WORD:
-                    values.update(zip(part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True))
+                    words.append((part.column(3), part.column(5).to_numpy()))
                 elif kinds[a] == GRAM:
-                    parts.append((part.column(3).to_numpy().view(np.uint64), part.column(4).to_numpy()))
+                    grams.append((part.column(4).to_numpy().view(np.uint64), part.column(5).to_numpy()))
                 else:
-                    if lookup is None:
-                        lookup = Lookup(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                        parts = []
-                    yield scored(part, values, lookup)
+                    if lookups is None:
+                        lookups = (pa.concat_arrays([pa.array([], pa.binary()), *(w for w, _ in words)]), np.concatenate([np.zeros(0), *(v for _, v in words)]), Lookup(*(np.concatenate(x) for x in zip(*grams, strict=True))))
+                        words, grams = [], []
+                    yield scored(part, *lookups)
 
-    def scored(part: pa.RecordBatch, values: dict, lookup: Lookup) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, listed: pa.Array, values: np.ndarray, lookup: Lookup) -> pa.RecordBatch:
         n = part.num_rows
         tokens, known, symbols = np.ones(n, np.int64), np.full(n, int(trained > 0), np.int64), np.ones(n, np.int64)
         logs, score = np.zeros(n), np.zeros(n)
+        waiting: list[bytes] = []
+        counts: list[tuple[int, int]] = []  # document and words of each slice that waits
+
+        def flush() -> None:
+            nonlocal waiting, counts
+            found = pc.index_in(pa.array(waiting, pa.binary()), value_set=listed)
+            if found.null_count:
+                raise KeyError("a word without a count")
+            got = values[found.to_numpy()]
+            at = np.repeat([i for i, _ in counts], [c for _, c in counts]).astype(np.int64)
+            np.add.at(logs, at, got)
+            np.add.at(known, at, got > 0)
+            waiting, counts = [], []
 
         def texts() -> Iterator[tuple[int, bytes]]:
-            for i, text in enumerate(part.column(7)):
+            for i, text in enumerate(part.column(8)):
                 data = folded(text.as_py())
-                got = [*map(values.__getitem__, data.split())]
-                tokens[i] += len(got)
-                known[i] += len(got) - got.count(0.0)
-                logs[i] = sum(got)
                 symbols[i] += len(data)
+                for ws in word_slices(data):
+                    tokens[i] += len(ws)
+                    waiting.extend(ws)
+                    counts.append((i, len(ws)))
+                    if len(waiting) > WORD_CHUNK:
+                        flush()
                 yield i, data
 
         for numbers, grams, starts in chunks(texts(), order):
             np.add.at(score, numbers, np.add.reduceat(lookup(grams), starts))
-        made = [part.column(5), part.column(6), *map(pa.array, (tokens, known, logs, score, symbols))]
+        flush()
+        made = [part.column(6), part.column(7), *map(pa.array, (tokens, known, logs, score, symbols))]
         return pa.RecordBatch.from_arrays(made, schema=schema)
 
     out = dealt.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_symbols long")

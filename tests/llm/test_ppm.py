@@ -76,6 +76,31 @@ def test_blocks_and_slices_give_the_same(spark, monkeypatch):
     assert sorted(repr((r["doc_id"], round(r["score"], 6))) for r in P.score_documents(df).collect()) == want
 
 
+def test_stretches_of_few_grams_or_words_give_the_same(spark, monkeypatch):
+    rows = [*corpus(), (61, ""), (99, "a long text about the length of codes " * 40), (99, "a long text about the length of codes " * 40)]
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], DOCS)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    shape = lambda r: repr((*r[:5], round(r[5], 6), round(r[6], 6)))
+    want = sorted(map(shape, plain(rows, 3)))
+    for name, most in (("MOST_GRAMS", 60), ("MOST_WORD_BYTES", -1)):
+        with monkeypatch.context() as m:
+            m.setattr(P, name, most)
+            assert sorted(shape([r[n] for n in names]) for r in P.score_documents(df, 3).collect()) == want
+
+
+def test_slices_of_words_and_lookups():
+    rng = random.Random(4)
+    data = b"".join(rng.choice([b"a", b"bc", b" ", b"\t", b"\n", b"dddddddd"]) for _ in range(400))
+    for size in (1, 7, 50, 10_000):
+        assert [w for ws in P.word_slices(data, size) for w in ws] == data.split()
+    keys = P.np.unique(P.np.array([rng.getrandbits(48) for _ in range(5000)], P.np.uint64))
+    table = P.Lookup(keys, P.np.arange(len(keys), dtype=float))
+    at = P.np.array([rng.randrange(len(keys)) for _ in range(20000)])
+    assert (table(keys[at]) == at).all()
+    with pytest.raises(KeyError):
+        table(P.np.array([2**50], P.np.uint64))
+
+
 def test_nothing_to_learn_from_and_empty_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = P.score_documents(spark.createDataFrame([(held, "ab", 0.0)], DOCS)).first()
