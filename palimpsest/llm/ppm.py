@@ -130,9 +130,13 @@ class _Tally:
             self.keys, self.counts = np.insert(self.keys, at[~known], keys[~known]), np.insert(self.counts, at[~known], counts[~known])
         self.waiting[train], self.sizes[train] = [], 0
 
-    def most(self) -> int:
-        """No more distinct grams than that."""
-        return len(self.keys) + sum(self.sizes.values())
+    def full(self, most: int) -> bool:
+        """Whether there are nearly `most` distinct grams. What waits is counted as distinct first, and exactly where that is too many."""
+        if len(self.keys) + sum(self.sizes.values()) <= most:
+            return False
+        self.flush(True)
+        self.flush(False)
+        return len(self.keys) > most * 0.9
 
     def told(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush(True)
@@ -228,7 +232,7 @@ def vocabulary(docs: DataFrame, order: int = ORDER) -> DataFrame:
         now, begin, last, words, tally = None, NO_PLACE, None, _Words(), _Tally(order)
         for batch in it:
             for block, place, held, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
-                full = place != last and (tally.most() > MOST_GRAMS or words.size() > MOST_WORD_BYTES)
+                full = place != last and (tally.full(MOST_GRAMS) or words.size() > MOST_WORD_BYTES)
                 if block != now or full:
                     if now is not None:
                         yield from told(now, begin, words, tally)
