@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
-import shutil
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+_swept: set[str] = set()
+
 
 def on_path(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver has it (a cluster that ships it as a file finds it anyway)."""
@@ -20,18 +24,60 @@ def on_path(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a folder of our own where that is unset (a local session), which goes at the end."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    own = f"/tmp/palimpsest-{spark.sparkContext.applicationId}"
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    """This application's part of the session's spark.checkpoint.dir. What is left in it goes when the driver ends.
+
+    Where that setting is missing, a session in one process takes a folder below /tmp; on a cluster executors would each write to a disk of their own, so that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"{(folder or '/tmp').rstrip('/')}/palimpsest-{context.applicationId}"
+    if own not in _swept:
+        _swept.add(own)
+        atexit.register(_delete, *_place(spark, own))
     return own
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _delete(path, conf) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and then there is nobody to ask
+        path.getFileSystem(conf).delete(path, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is; one that does not exist is fine."""
+    _delete(*_place(spark, path))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are deleted at the end. What is to leave goes through the function that this gives: it is cut and outlives them."""
+    _scopes.append([])
+
+    def out(df: DataFrame) -> DataFrame:
+        own = _scopes.pop()
+        try:
+            return cut(df)
+        finally:
+            _scopes.append(own)
+
+    try:
+        yield out
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: what stands on it several times is computed once, and a lost executor costs no more than the last stage."""
-    on_path(df.sparkSession)
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    on_path(spark)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
