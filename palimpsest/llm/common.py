@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import string
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
-
+from palimpsest.lineage import cut as saved
+from palimpsest.lineage import on_path, remove, scratch, shared_folder
 
-def on_path(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver has it (a cluster that ships it as a file finds it anyway)."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+__all__ = ["LOWER", "UPPER", "batches", "dealt_join", "folded_words", "lower_ascii", "on_path", "quoted", "remove", "saved", "scratch", "shared_folder", "small_batches", "table", "whole", "words"]
+MOST_BROADCAST = 50_000
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,15 +58,40 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset (a local session)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder.rstrip("/") if folder else f"/tmp/palimpsest-{spark.sparkContext.applicationId}"
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole(df: DataFrame, without: Iterable[str] = ()) -> Column:
+    """All columns of `df` but some as one struct, so that no name of theirs meets a name of ours."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c not in without])
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """What is written inside goes to Python in Arrow batches of `rows` rows at most: with whole texts in them, the default of 10,000 takes some 100 MB of each task, outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
+def dealt_join(left: DataFrame, right: DataFrame, owner: list[str], by: list[str], most: int, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join on `owner`, of which `right` has one row each. An owner with more than `most` rows of `left` is dealt in parts by `by`, with a copy of its row for each part.
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage: write `df` as a Parquet table in the shared folder and read it back. Unlike checkpoint(), the last stage runs once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    `counted` has the same owners as often as `left` and is cheaper to read. The counts of such owners are broadcast up to MOST_BROADCAST of them, which are a few MB, and joined by a shuffle beyond.
+    """
+    n, part = "n of parts", "part of them"
+    often = saved((counted or left).groupBy(*owner).agg(F.ceil(F.count("*") / most).cast("int").alias(n)).where(F.col(n) > 1))
+    found = often.count()
+    if not found:
+        return left.join(right, owner)
+    if found <= MOST_BROADCAST:
+        often = F.broadcast(often)
+    parts = F.coalesce(F.col(n), F.lit(1))
+    dealt = left.join(often, owner, "left").withColumn(part, F.pmod(F.xxhash64(*by), parts).cast("int")).drop(n)
+    copies = right.join(often, owner, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return dealt.join(copies, [*owner, part]).drop(part)

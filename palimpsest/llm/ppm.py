@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import saved, table
+from palimpsest.llm.common import saved, scratch, small_batches, table
 
 ORDER = 5
 START, END = b"\xfe", b"\xff"
@@ -302,13 +302,15 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
     size, trained = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     blocks = LEAST_BLOCKS + size // BLOCK_BYTES
     docs = docs.withColumn("place", F.xxhash64("id", "text")).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
-    found = saved(vocabulary(docs, order))
+    with small_batches(df.sparkSession):
+        found = saved(vocabulary(docs, order))
     same = W.partitionBy("word")
     words = saved(found.where(F.col("kind") == WORD).select("block", "place", "word", F.sum("n").over(same).alias("c"), (F.struct("block", "place") == F.min(F.struct("block", "place")).over(same)).alias("first")))
     total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + trained, distinct + (trained > 0)
     grams = found.where(F.col("kind") == GRAM).select("block", "place", "gram", "n")
-    lengths = code_lengths(saved(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order)
+    with scratch(df.sparkSession) as out:
+        lengths = out(code_lengths(saved(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order))
     columns = {"kind": "int", "block": "int", "place": "long", "word": "binary", "gram": "long", "value": "double", "id": "long", "held_out": "boolean", "text": "string"}
 
     def shaped(x: DataFrame, kind: int) -> DataFrame:
@@ -376,7 +378,8 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
         made = [part.column(6), part.column(7), *map(pa.array, (tokens, known, logs, score, symbols))]
         return pa.RecordBatch.from_arrays(made, schema=schema)
 
-    out = dealt.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_symbols long")
+    with small_batches(df.sparkSession):
+        out = saved(dealt.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_symbols long"))
     end, norm = math.log10(trained + 1), math.log10(total + distinct + 1)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score", "n_symbols")
 
