@@ -1,10 +1,14 @@
 """Repeated runs of lines: winnowed fingerprints find them, extension gives their full length, later occurrences go.
 
 A fingerprint is the hash of RUN consecutive lines; of every WINDOW such hashes in a row the least is selected, so each run of
-RUN + WINDOW - 1 lines that also stands elsewhere holds a selected fingerprint. Each RUN + WINDOW - 1 lines in a row are a fingerprint
-of another kind, so that a run of this length is matched with its own first occurrence, whoever owns the shorter runs in it. A line of
-SOLO_CHARS characters or more is a run by itself and a fingerprint of its own kind. The first occurrence of a fingerprint - by document, then by line - is found by an aggregation that combines map-side, the
-others are joined to it, and each match is extended both ways over the two documents' line hashes. A line goes if some run that holds it
+RUN + WINDOW - 1 lines holds a selected fingerprint wherever it stands. The first occurrence of a fingerprint may be a short one that says
+nothing of what stands around later ones. So each fingerprint is also taken with its context: every RUN + WINDOW - 1 lines around it, which
+by the guarantee are all the runs of that length, are a key with a first occurrence of its own. A run of that length that stands
+earlier is therefore always found, whoever owns its parts; shorter ones are found where they hold a selected fingerprint whose first occurrence they
+are equal to. A line of SOLO_CHARS characters or more is a run by itself and a fingerprint of its own kind.
+
+The first occurrence - by document, then by line - is found by an aggregation that combines map-side, the others are joined to it,
+and each match is extended both ways over the two documents' line hashes. A line goes if some run that holds it
 begins earlier elsewhere, so the first occurrence of every deleted line stays.
 
 Only line hashes move between stages; texts move once, to be rewritten, by the same sort-merge join at every size.
@@ -19,11 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import saved, table
+from palimpsest.llm.common import dealt_join, quoted, saved, table, whole
 
 RUN, WINDOW, SOLO_CHARS = 2, 3, 64
-DEALT = 256
+DEALT, ROWS = 256, 512
 SPACES = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 
@@ -108,7 +113,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("lines", pa.binary()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it):
             rows = [fingerprint_lines(t.as_py()) for t in batch.column(2)]
             keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _, _ in rows], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([a for _, _, a in rows], pa.list_(pa.int32()))], schema=schema)
@@ -119,17 +124,12 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = spots.join(first, "key").where("id <> id2 OR hash <> hash2 OR at <> at2")
     pairs = saved(later.groupBy("id", "hash", "id2", "hash2").agg(F.collect_list(F.struct("at", "at2")).alias("pairs")))  # as many as a document has fingerprints at most
     lines = measured.select("id", "hash", "lines").dropDuplicates(["id", "hash"])
-    # a document that owns a very common line is dealt in parts, with a copy of its line hashes for each
-    owner = ["id2", "hash2"]
-    often = pairs.groupBy(*owner).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 1")
-    dealt = lambda df: df.join(often, owner, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    copies = dealt(lines.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), F.col("lines").alias("lines2"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    parted = dealt(pairs).withColumn("part", F.pmod(F.xxhash64("id", "hash"), "parts").cast("int")).drop("parts")
-    both = parted.join(lines, ["id", "hash"]).join(copies, [*owner, "part"])
+    copies = lines.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), F.col("lines").alias("lines2"))
+    both = dealt_join(pairs, copies, ["id2", "hash2"], ["id", "hash"], DEALT).join(lines, ["id", "hash"])
     out = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it):
             found = []
             for a, b, p in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 runs = extend(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), [(x["at"], x["at2"]) for x in p.as_py()])
@@ -148,27 +148,36 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order; columns named n_lines or n_removed_lines give way.
     """
     new = ["n_lines", "n_removed_lines"]
-    stay = [c for c in df.columns if c not in new]
-    runs = saved(repeated_runs(df, id_col, text_col)).select(F.col("id").alias("_own_id"), F.col("hash").alias("_own_hash"), F.col("runs").alias("_runs"))
-    keyed = df.select(*stay, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
-    joined = keyed.join(runs.hint("merge"), (F.col("_id") == F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left").select(*stay, "_runs")
+    stay = [c for c in df.columns if c.lower() not in new]
+    runs = saved(repeated_runs(df, id_col, text_col))
+    keyed = df.select(whole(df.select(*map(quoted, stay))).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    joined = keyed.join(runs.hint("merge"), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("hash")), "left").select("row", "runs")
     at = stay.index(text_col)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in _slices(it):
+            row = batch.column(0)
+            columns, names = row.flatten(), [row.type.field(i).name for i in range(row.type.num_fields)]
             texts, n, gone = [], [], []
-            for text, spans in zip(batch.column(at), batch.column(len(stay)), strict=True):
+            for text, spans in zip(columns[at], batch.column(1), strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 lines = text.split("\n") if text is not None else []
                 drop = {i for s in spans or () for i in range(s["start"], s["end"])} if lines else set()
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
                 n.append(len(lines))
                 gone.append(len(drop))
-            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(stay)], pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*stay, *new])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["row", *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema)
-    return joined.mapInArrow(cut, f"{fields}, n_lines long, n_removed_lines long")
+    schema = T.StructType([joined.schema["row"], *(T.StructField(c, T.LongType()) for c in new)])
+    return joined.mapInArrow(cut, schema).select("row.*", *new)
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows of a batch at a time: what is made of them in Python stays small."""
+    for batch in it:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

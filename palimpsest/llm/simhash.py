@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import folded_words, saved, table
+from palimpsest.llm.common import folded_words, saved, scratch, table, whole
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 BUCKET, PART, BATCH = 256, 1024, 512
@@ -210,19 +210,20 @@ def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node of the edges (a, b), by alternating large and small stars."""
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = saved(small)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    with scratch(edges.sparkSession) as out:
+        edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        for _ in range(most_rounds):
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            lower = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+            edges = saved(small)
+            now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if now == seen:
+                return out(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
+            seen = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -251,16 +252,15 @@ def keep_one(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str
     Null ids come last. Of rows equal in id and text one stays. Links, components and winners are found on ids and
     fingerprints; texts move once, by the same sort-merge join at every size, to the rows that stay.
     """
-    id_, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     fps = saved(fingerprints(df, k, id_col, text_col))
     ranked = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     won = fps.join(labels(fps, radius), "fp").groupBy("root", "id", "hash").agg(F.count("*").alias("rows"))
-    won = saved(won.groupBy("root").agg(F.min_by(F.struct("id", "hash", "rows"), ranked).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash"), F.col("w.rows").alias("_rows")))
-    stay = df.columns
-    kept = df.withColumns({"_own_id": id_, "_own_hash": text_hash}).join(won.hint("merge"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
-    if won.where("_rows > 1").isEmpty():
-        return kept.select(*stay)
-    return kept.where("_rows = 1").select(*stay).unionByName(kept.where("_rows > 1").dropDuplicates(["_own_id", "_own_hash"]).select(*stay))
+    won = saved(won.groupBy("root").agg(F.min_by(F.struct("id", "hash", "rows"), ranked).alias("w")).select("w.*"))
+    own = df.select(whole(df).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    kept = own.join(won.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    if won.where("rows > 1").isEmpty():
+        return kept.select("row.*")
+    return kept.where("rows = 1").select("row.*").unionByName(kept.where("rows > 1").dropDuplicates(["own_id", "own_hash"]).select("row.*"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,69 @@ def test_all_repeated_runs_go_whoever_owns_their_parts(spark):
     assert [got[i] for i in range(62, 180, 3)] == [4] * 40
 
 
+def all_runs(texts, least):
+    """By comparing every two places of all texts: for each text the lines in some run of `least` lines or more that stands earlier, as the longest equal stretch around each place."""
+    lines = [t.split("\n") for t in texts]
+    gone = [set() for _ in texts]
+    places = [(d, i) for d, own in enumerate(lines) for i in range(len(own))]
+    for d, i in places:
+        for e, j in places:
+            if (e, j) >= (d, i) or (i and j and lines[d][i - 1] == lines[e][j - 1]):
+                continue  # only from where both begin to be equal
+            n = 0
+            while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
+                n += 1
+            if n >= least:
+                gone[d].update(range(i, i + n))
+    return gone
+
+
+def removed(spark, texts):
+    """Lines that went from each text; lines are told apart by their order, as a text's rest is a subsequence that differs at no line kept."""
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
+    return {r["doc_id"]: r for r in L.dedup_lines(df).collect()}
+
+
+def test_a_short_earlier_occurrence_shields_no_longer_run(spark):
+    """The window minimum may be (x, y), whose first occurrence has neither a nor b around it."""
+    for n in range(12):
+        texts = [f"u1 {n}\nx {n}\ny {n}\nu2 {n}", f"p\na {n}\nx {n}\ny {n}\nb {n}\nq", f"r\na {n}\nx {n}\ny {n}\nb {n}\ns"]
+        if n % 4 == 0:
+            assert removed(spark, texts)[2]["text"] == "r\ns"
+        first = L.fingerprint_lines(texts[1])[1], L.fingerprint_lines(texts[2])[1]
+        assert set(first[0]) & set(first[1])
+
+
+def test_exhaustive_search_over_all_pairs_of_places(spark):
+    """Every line in a run of 4 that stands earlier goes; what goes is in a run of 2 that stands earlier, or is a long line that does."""
+    rng = random.Random(11)
+    pool = ["a", "b", "c", "d", "e", "f", "a line of its own that is longer than sixty-four characters, so that it is a run"]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {rng.random()}" for _ in range(rng.randrange(1, 14))) for _ in range(70)]
+    got = removed(spark, texts)
+    must, may = all_runs(texts, L.RUN + L.WINDOW - 1), all_runs(texts, L.RUN)
+    seen = set()
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        long_repeats = {n for n, x in enumerate(lines) if len(x) >= L.SOLO_CHARS and (x in seen or x in lines[:n])}
+        seen.update(lines)
+        assert len(must[i] | long_repeats) <= got[i]["n_removed_lines"] <= len(may[i] | long_repeats)
+        rest = iter(lines)
+        assert all(x in rest for x in (got[i]["text"].split("\n") if got[i]["n_removed_lines"] < len(lines) else []))
+        kept = [x for n, x in enumerate(lines) if n not in may[i] | long_repeats]
+        rest = iter(got[i]["text"].split("\n"))
+        assert all(x in rest for x in kept)
+    assert sum(len(x) for x in must) > 20
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_id", "_hash", "_runs", "id", "hash", "runs", "row", "own_id", "own_hash", "lines", "a.b", "n_lines"]
+    text = "\n".join(f"line {n} of a text" for n in range(9))
+    df = spark.createDataFrame([(i, text, *[f"{c}{i}" for c in names]) for i in range(2)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = sorted(L.dedup_lines(df).collect())
+    assert got[0].__fields__ == ["doc_id", "text", *names[:-1], "n_lines", "n_removed_lines"]
+    assert [r["text"] for r in got] == [text, ""] and [r["_id"] for r in got] == ["_id0", "_id1"] and got[1]["a.b"] == "a.b1"
+
+
 def test_blank_runs_take_no_fingerprint_away():
     for n in range(50):
         hashes, keys, _ = L.fingerprint_lines(f"a {n}\n\n\nb {n}")

@@ -112,3 +112,11 @@ def test_null_ids_ties_and_empty_tables(spark):
     assert [r["component_id"] for r in got if r["fingerprint"] == "0" * 16] == [None]
     empty = spark.createDataFrame([], DOCS)
     assert S.near_duplicates(empty).collect() == [] and S.keep_one(empty).collect() == []
+
+
+def test_columns_of_any_name_stay_when_one_is_kept(spark):
+    names = ["_id", "_hash", "_own_id", "id", "hash", "row", "rows", "own_id", "a.b"]
+    rows = [(i, "the same words in a row for all", *[f"{c}{i}" for c in names]) for i in (3, 1, 1, 2)] + [(None, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = S.keep_one(df).collect()
+    assert sorted(r["_id"] for r in got) == ["_id", "_id1"] and got[0].__fields__ == ["doc_id", "text", *names]
