@@ -13,7 +13,7 @@ Documents are dealt into blocks of some 40 MB of text, and a block is read in th
 distinct grams or its distinct words pass a bound, so what a task holds is bounded by MOST_GRAMS and MOST_WORD_BYTES and the longest
 document, whatever the text is like. A stretch says which words and grams it has, gets back their counts and code lengths, and scores its
 documents by table look-ups. So what moves is a stretch's vocabulary, not a row for each word of each document; documents
-stream, and long ones are read in slices. Words and grams are held in arrays, not as Python objects.
+stream, and long ones are read in slices. Grams are held in arrays; so are words while a stretch is gathered, and in one table when it is scored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ START, END = b"\xfe", b"\xff"
 ALPHABET = 255  # all bytes but START
 BLOCK_BYTES, LEAST_BLOCKS = 40_000_000, 6
 CHUNK, TALLY_CHUNK = 256 << 10, 1 << 20
-MOST_GRAMS, MOST_WORD_BYTES, WORD_CHUNK = 2_000_000, 24_000_000, 50_000
+MOST_GRAMS, MOST_WORD_BYTES, WORD_CHUNK = 2_000_000, 16_000_000, 50_000
 NO_PLACE = -(2**63)
 FOLDS, HELD_OUT = 7, 2
 WORD, GRAM, TEXT = 0, 1, 2
@@ -322,7 +321,8 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_symbols", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, grams, lookups = None, [], [], None
+        now, values, grams, lookup = None, {}, [], None
+        same: dict[float, float] = {}  # few different counts, so few objects
         for batch in it:
             kinds, own, places = (batch.column(i).to_numpy() for i in range(3))
             cuts = np.flatnonzero((kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]) | (places[1:] != places[:-1]) & (kinds[1:] != TEXT)) + 1
@@ -331,50 +331,35 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
                     continue
                 part = batch.slice(a, b - a)
                 if kinds[a] != TEXT and (own[a], places[a]) != now:
-                    now, words, grams, lookups = (own[a], places[a]), [], [], None
+                    now, values, grams, lookup, same = (own[a], places[a]), {}, [], None, {}
                 if kinds[a] == WORD:
-                    words.append((part.column(3), part.column(5).to_numpy()))
+                    values.update(zip(part.column(3).to_pylist(), [same.setdefault(x, x) for x in part.column(5).to_pylist()], strict=True))
                 elif kinds[a] == GRAM:
                     grams.append((part.column(4).to_numpy().view(np.uint64), part.column(5).to_numpy()))
                 else:
-                    if lookups is None:
-                        lookups = (pa.concat_arrays([pa.array([], pa.binary()), *(w for w, _ in words)]), np.concatenate([np.zeros(0), *(v for _, v in words)]), Lookup(*(np.concatenate(x) for x in zip(*grams, strict=True))))
-                        words, grams = [], []
-                    yield scored(part, *lookups)
+                    if lookup is None:
+                        lookup = Lookup(*(np.concatenate(x) for x in zip(*grams, strict=True)))
+                        grams = []
+                    yield scored(part, values, lookup)
 
-    def scored(part: pa.RecordBatch, listed: pa.Array, values: np.ndarray, lookup: Lookup) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, values: dict[bytes, float], lookup: Lookup) -> pa.RecordBatch:
         n = part.num_rows
         tokens, known, symbols = np.ones(n, np.int64), np.full(n, int(trained > 0), np.int64), np.ones(n, np.int64)
         logs, score = np.zeros(n), np.zeros(n)
-        waiting: list[bytes] = []
-        counts: list[tuple[int, int]] = []  # document and words of each slice that waits
-
-        def flush() -> None:
-            nonlocal waiting, counts
-            found = pc.index_in(pa.array(waiting, pa.binary()), value_set=listed)
-            if found.null_count:
-                raise KeyError("a word without a count")
-            got = values[found.to_numpy()]
-            at = np.repeat([i for i, _ in counts], [c for _, c in counts]).astype(np.int64)
-            np.add.at(logs, at, got)
-            np.add.at(known, at, got > 0)
-            waiting, counts = [], []
 
         def texts() -> Iterator[tuple[int, bytes]]:
             for i, text in enumerate(part.column(8)):
                 data = folded(text.as_py())
                 symbols[i] += len(data)
                 for ws in word_slices(data):
-                    tokens[i] += len(ws)
-                    waiting.extend(ws)
-                    counts.append((i, len(ws)))
-                    if len(waiting) > WORD_CHUNK:
-                        flush()
+                    got = [*map(values.__getitem__, ws)]
+                    tokens[i] += len(got)
+                    known[i] += len(got) - got.count(0.0)
+                    logs[i] += sum(got)
                 yield i, data
 
         for numbers, grams, starts in chunks(texts(), order):
             np.add.at(score, numbers, np.add.reduceat(lookup(grams), starts))
-        flush()
         made = [part.column(6), part.column(7), *map(pa.array, (tokens, known, logs, score, symbols))]
         return pa.RecordBatch.from_arrays(made, schema=schema)
 
