@@ -1,87 +1,135 @@
 """Benchmark passages in documents: item-sized windows, their SimHash fingerprints looked up by Hamming blocks, and exact verification.
 
 Similarity is that of weighted 5-word shingles, the sum of the lesser over the sum of the greater counts, and 0.8 or more is a
-leak. A window as long as an item is fingerprinted at every word where it could reach that: a window without a single shingle of
-the item has similarity 0, so only windows that overlap a shared shingle are. Fingerprints are looked up in an index of 8 blocks of 8 bits:
-two fingerprints within RADIUS = 8 * (2 + 1) - 1 = 23 bits agree up to 2 bits in some block, so for each block and byte value the
-items up to 2 bits away are listed. At similarity 0.8 about 10 bits differ, with a deviation of 3.
-
-The benchmark is a stated query set. It is broadcast in blocks of at most ITEM_BYTES of text; more blocks mean more passes over the
-documents. Documents are not shuffled.
+leak. Every window as long as an item is considered. One of m shingles can only reach 0.8 with an item of n if at least 0.8 / 1.8 of m + n of
+its shingles stand in the benchmark at all; running sums tell that, and windows below it are done with, without a loss. The others are
+fingerprinted and looked up among the items of their length in an index of BLOCKS blocks of 16 bits. Two fingerprints within
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 = 19 bits agree up to BLOCK_RADIUS = 4 bits in some block, so the index finds every item within
+the radius, and one random pair in seven. What is found within the radius is verified. At similarity 0.8 about 10 bits differ, with a deviation
+of 3, so some one leak in a thousand at the very threshold lies beyond.
+
+The benchmark is a stated query set. It is broadcast in blocks of at most ITEM_BYTES of text, one at a time; each further block is a pass over
+the documents, written before the next one begins. Documents are not shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import folded_words, table
+from palimpsest.llm.common import folded_words, quoted, saved, table, whole
 from palimpsest.llm.simhash import majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCK_RADIUS = 2
-RADIUS = 8 * (BLOCK_RADIUS + 1) - 1
-ITEM_BYTES = 8 << 20
-TABLE_BITS = 20
+BLOCKS, BLOCK_RADIUS = 4, 4
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+ITEM_BYTES = 16 << 20
+TABLE_BITS = 22
+CELLS = 1 << 20
 LEAK = "array<struct<item_id: long, start_word: int, n_words: int, distance: int, similarity: double>>"
 
 
+def ball(radius: int = BLOCK_RADIUS, bits: int = 16) -> np.ndarray:
+    """All values of `bits` bits with at most `radius` of them set."""
+    return np.array([sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(bits), r)], np.uint16)
+
+
+BALL = ball()
+
+
+class HammingIndex:
+    """Fingerprints by their blocks of 16 bits: all within RADIUS are found, by probing a block's neighbours or, where fewer, its listed values."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints = prints
+        own = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)
+        self.order = [np.argsort(own[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        listed = [np.unique(own[:, b], return_index=False, return_counts=True) for b in range(BLOCKS)]
+        self.values = [v for v, _ in listed]
+        self.ends = [np.concatenate([[0], np.cumsum(n)]) for _, n in listed]
+
+    def _block(self, b: int, value: int) -> np.ndarray:
+        """Items up to BLOCK_RADIUS bits away from `value` in block b."""
+        values, ends = self.values[b], self.ends[b]
+        if len(values) <= len(BALL):
+            at = np.flatnonzero(np.bitwise_count(values ^ np.uint16(value)) <= BLOCK_RADIUS)
+        else:
+            near = BALL ^ np.uint16(value)
+            at = np.searchsorted(values, near)
+            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == near)]
+        return self.order[b][np.repeat(ends[at] - np.concatenate([[0], np.cumsum(ends[at + 1] - ends[at])[:-1]]), ends[at + 1] - ends[at]) + np.arange((ends[at + 1] - ends[at]).sum())] if len(at) else np.zeros(0, np.int32)
+
+    def candidates(self, fingerprint: int) -> np.ndarray:
+        """Items that some block has near; all within RADIUS are among them."""
+        blocks = np.array([fingerprint], np.uint64).view(np.uint16)
+        return np.unique(np.concatenate([self._block(b, int(blocks[b])) for b in range(BLOCKS)]))
+
+    def within(self, fingerprint: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items within RADIUS and their distances."""
+        found = self.candidates(fingerprint)
+        distance = np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint))
+        return found[distance <= RADIUS], distance[distance <= RADIUS]
+
+
 class Items:
-    """An index over benchmark items of one shingle size (items shorter than SHINGLE words are one shingle of their own size)."""
+    """Benchmark items of one shingle size (items shorter than SHINGLE words are one shingle of their own size), by their number of shingles."""
 
     def __init__(self, size: int, items: list[tuple[int, list[bytes]]]) -> None:
         self.size = size
         self.ids = [i for i, _ in items]
-        self.hashes = [shingle_hashes(ws, size) for _, ws in items]
-        self.counts = [Counter(h.tolist()) for h in self.hashes]
         self.words = [len(ws) for _, ws in items]
-        self.prints = np.array([majority(h) for h in self.hashes], np.uint64)
-        every = np.concatenate(self.hashes)
+        self.hashes = [shingle_hashes(ws, size) for _, ws in items]
+        self.known = np.unique(np.concatenate(self.hashes))
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
-        self.maybe[every >> np.uint64(64 - TABLE_BITS)] = True
-        self.owners: dict[int, list[int]] = {}
-        for k, own in enumerate(self.counts):
-            for h in own:
-                self.owners.setdefault(h, []).append(k)
-        own = self.prints.view(np.uint8).reshape(-1, 8)
-        #: near[block, byte]: which items are up to BLOCK_RADIUS bits away in that block
-        self.near = np.stack([np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ own[None, :, b]) <= BLOCK_RADIUS for b in range(8)])
+        self.maybe[self.known >> np.uint64(64 - TABLE_BITS)] = True
+        of: dict[int, list[int]] = {}
+        for k, h in enumerate(self.hashes):
+            of.setdefault(len(h), []).append(k)
+        self.of_length = {n: (np.array(ks), HammingIndex(np.array([majority(self.hashes[k]) for k in ks], np.uint64))) for n, ks in sorted(of.items())}
+
+    def stand_in(self, hashes: np.ndarray) -> np.ndarray:
+        """Which shingles of a document some item has."""
+        out = self.maybe[hashes >> np.uint64(64 - TABLE_BITS)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
+            out[at] = self.known[place] == hashes[at]
+        return out
 
     def leaks(self, hashes: np.ndarray) -> list[dict]:
         """The best window for each item that some window of a document with these shingle hashes reaches."""
-        if not len(hashes):
+        total = len(hashes)
+        if not total:
+            return []
+        listed = self.stand_in(hashes)
+        if not listed.any():
             return []
-        hits = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - TABLE_BITS)])
-        at: dict[int, list[int]] = {}
-        for p, h in zip(hits.tolist(), hashes[hits].tolist(), strict=True):
-            for k in self.owners.get(h, ()):
-                at.setdefault(k, []).append(p)
-        by_length: dict[int, set[int]] = {}
-        for k in at:
-            by_length.setdefault(len(self.hashes[k]), set()).update(at[k])
+        before = np.concatenate([[0], np.cumsum(listed)])
         best: dict[int, tuple] = {}
-        for n, places in by_length.items():
-            starts = np.unique(np.concatenate([np.arange(max(0, p - n + 1), max(1, min(p, len(hashes) - n) + 1)) for p in places]))
-            prints = window_prints(hashes, starts, n)
-            blocks = prints.view(np.uint8).reshape(-1, 8)
-            found = np.zeros((len(starts), len(self.ids)), bool)
-            for b in range(8):
-                found |= self.near[b, blocks[:, b]]
-            w, k = np.nonzero(found)
-            distance = np.bitwise_count(prints[w] ^ self.prints[k])
-            close = distance <= RADIUS
-            for w1, k1, d in zip(w[close].tolist(), k[close].tolist(), distance[close].tolist(), strict=True):
-                if len(self.hashes[k1]) != n:
-                    continue
-                s = int(starts[w1])
-                similarity = weighted(Counter(hashes[s : s + n].tolist()), self.counts[k1])
-                if similarity >= SIMILARITY:
-                    best[k1] = min(best.get(k1, (0.0, 0, 0)), (-similarity, s, d))
+        for n, (ks, index) in self.of_length.items():
+            m = min(n, total)
+            need = math.ceil(SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-9)
+            if need > min(m, before[-1]):
+                continue
+            starts = np.flatnonzero(before[m:] - before[: total - m + 1] >= need)
+            for at in range(0, len(starts), CELLS // 64):
+                own = starts[at : at + CELLS // 64]
+                for s, fingerprint in zip(own.tolist(), window_prints(hashes, own, m).tolist(), strict=True):
+                    counts = None
+                    for k, d in zip(*(x.tolist() for x in index.within(fingerprint)), strict=True):
+                        counts = counts or Counter(hashes[s : s + m].tolist())
+                        k = int(ks[k])
+                        similarity = weighted(counts, Counter(self.hashes[k].tolist()))
+                        if similarity >= SIMILARITY:
+                            best[k] = min(best.get(k, (0.0, 0, 0)), (-similarity, s, d))
         return [{"item_id": self.ids[k], "start_word": s, "n_words": self.words[k], "distance": d, "similarity": -x} for k, (x, s, d) in sorted(best.items(), key=lambda y: self.ids[y[0]])]
 
 
@@ -124,32 +172,31 @@ def mark_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "item_id", tex
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     blocks = max(1, -(-total // ITEM_BYTES))
-    stay = [c for c in df.columns if c != "leaks"]
-    out = df.select(*stay).withColumn("leaks", F.expr(f"CAST(array() AS {LEAK})"))
+    stay = [c for c in df.columns if c.lower() != "leaks"]
+    out = df.select(whole(df.select(*map(quoted, stay))).alias("row"), F.expr(f"CAST(array() AS {LEAK})").alias("leaks"))
     for b in range(blocks):
         index = item_index([tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()])
         if index:
-            out = _mark(out, stay, text_col, index)
-    return out
+            out = _mark(out, stay.index(text_col), index)
+            out = saved(out) if b + 1 < blocks else out
+    return out.select("row.*", "leaks")
 
 
-def _mark(df: DataFrame, stay: list[str], text_col: str, index: list[Items]) -> DataFrame:
+def _mark(df: DataFrame, at: int, index: list[Items]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(index)  # of at most ITEM_BYTES of text
-    at = stay.index(text_col)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in it:
             found = []
-            for text, before in zip(batch.column(at), batch.column(len(stay)), strict=True):
+            for text, before in zip(batch.column(0).flatten()[at], batch.column(1), strict=True):
                 ws = folded_words(text.as_py())
                 leaks = [x for items in own if len(ws) >= items.size or items.size == SHINGLE for x in items.leaks(shingle_hashes(ws, items.size))]
                 found.append([*before.as_py(), *leaks])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(stay)], pa.array(found, kind)], names=[*stay, "leaks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["row", "leaks"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema)
-    return df.mapInArrow(run, f"{fields}, leaks {LEAK}")
+    return df.mapInArrow(run, T.StructType([df.schema["row"], T.StructField("leaks", T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("similarity", T.DoubleType())])))]))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
