@@ -2,14 +2,17 @@
 
 A text is spaces turned to U+2581 behind one more U+2581. No piece of the vocabulary joins another character to a following
 U+2581 (checked when the model is loaded), so no merge crosses that border: each unit - marks and what follows up to the next mark - is
-encoded by itself, and a worker remembers the units it has met, in a memo of bounded size. In every Arrow batch some whole
-texts are also encoded and decoded by the sentencepiece library; a difference raises an error.
+encoded by itself, and a worker remembers the ids of units it has met. Decoding starts from ids: those of each unit are decoded by themselves (a unit has whole
+characters, so its byte pieces do, too), and what ids say is remembered in a memo of its own. Both memos are bounded in bytes, and long units
+are kept in neither. Of every Arrow batch the first text with anything in it and some of all others, chosen by a hash and of any length, are
+also encoded and decoded by the sentencepiece library; a difference raises an error.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import batches, table
 
 MARK = "▁"
-MEMO_UNITS = 300_000
-CHECKED_ROWS, CHECKED_CHARS = 4, 50_000
+MEMO_BYTES, MEMO_CHARS = 64_000_000, 256
+CHECKED = 64
 SCHEMA = "n_tokens long, ids string, decoded string"
 
 
@@ -133,18 +136,23 @@ def _each_bad_byte(data: bytes) -> str:
 
 
 class _Memo(dict):
-    """What has been made of units. A full memo becomes the old one, and what is still in use comes back from it: frequent units stay, and two memos are all there is."""
+    """What has been made of texts of up to MEMO_CHARS characters. A full memo becomes the old one, and what is still in use comes back from it: frequent texts stay, and two memos of MEMO_BYTES are all there is."""
 
     def __init__(self, make: Callable[[str], str]) -> None:
         super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, unit: str) -> str:
-        if len(self) >= MEMO_UNITS:
-            self.old = dict(self)
-            self.clear()
-        made = self.old.get(unit)
-        self[unit] = made = self.make(unit) if made is None else made
+        self.make, self.old, self.weight = make, {}, 0
+
+    def __missing__(self, text: str) -> str:
+        made = self.old.get(text)
+        if made is None:
+            made = self.make(text)
+        if len(text) <= MEMO_CHARS:
+            weight = 250 + len(text) + len(made)  # two strings and a place in the table
+            if self.weight + weight > MEMO_BYTES:
+                self.old, self.weight = dict(self), 0
+                self.clear()
+            self.weight += weight
+            self[text] = made
         return made
 
 
@@ -153,24 +161,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.model = MergeModel(path)
-        self.coded = _Memo(self._code)
-        #: Units that don't decode to themselves with marks as spaces. None is known to exist in a model that has all bytes.
-        self.odd: set[str] = set()
-
-    def _code(self, unit: str) -> str:
-        ids = self.model.encode_unit(unit)
-        if self.model.decode_raw(ids) != unit.replace(MARK, " "):
-            self.odd.add(unit)
-        return "".join([f"{i} " for i in ids])
+        self.coded = _Memo(lambda unit: "".join([f"{i} " for i in self.model.encode_unit(unit)]))
+        self.read = _Memo(lambda ids: self.model.decode_raw([int(i) for i in ids.split()]))
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
-        text = text or ""
-        units = self.model.split(text)
-        ids = "".join(map(self.coded.__getitem__, units)) + str(self.model.end)
-        if self.odd.isdisjoint(units):
-            return ids.count(" ") + 1, ids, text.replace(MARK, " ")
-        decoded = "".join([self.model.decode_raw([int(i) for i in self.coded[u].split()]) if u in self.odd else u.replace(MARK, " ") for u in units])
-        return ids.count(" ") + 1, ids, decoded.removeprefix(" ")
+        coded = [self.coded[u] for u in self.model.split(text or "")]
+        ids = "".join(coded) + str(self.model.end)
+        return ids.count(" ") + 1, ids, "".join([self.read[c] for c in coded]).removeprefix(" ")
 
     def check(self, text: str, ids: str, decoded: str) -> None:
         own = [int(i) for i in ids.split()]
@@ -196,13 +193,13 @@ def encode_pieces(df: DataFrame, model: str | None = None, id_col: str = "doc_id
 
         def rows() -> Iterator[tuple]:
             for batch in it:
-                checked = 0
+                checked = False
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     text = text.as_py()
                     n, ids, decoded = encoder(text)
-                    if text and checked < CHECKED_ROWS and len(text) <= CHECKED_CHARS:
+                    if text and (not checked or zlib.crc32(text.encode()) % CHECKED == 0):
                         encoder.check(text, ids, decoded)
-                        checked += 1
+                        checked = True
                     yield i, n, ids, decoded
 
         yield from batches(rows(), out, weigh=2)

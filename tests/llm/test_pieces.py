@@ -20,11 +20,28 @@ def test_any_text_encodes_and_decodes_as_the_library_does(text):
     assert decoded == MODEL.model.library.decode(own)
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "▁", "a" * 5000, " " * 3000, "\n" * 3000, "word " * 20_000, "\ufffd", "\x00"])
+@pytest.mark.parametrize("text", ["", " ", "  ", "▁", "a" * 5000, " " * 3000, "\n" * 3000, "word " * 20_000, "\ufffd", "\x00", "long text without an end " * 30_000, "x" * 300_000])
 def test_odd_texts(text):
     MODEL.check(text, *MODEL(text)[1:])
 
 
+def test_full_memos_give_the_same_and_stay_small(monkeypatch):
+    monkeypatch.setattr(P, "MEMO_BYTES", 3000)
+    encoder = P.Encoder(P.public_model())
+    for n in range(60):
+        text = f"some word{n % 7} and others{n} " + "x" * (n * 20) + " 漢字"
+        encoder.check(text, *encoder(text)[1:])
+        for memo in (encoder.coded, encoder.read):
+            assert sum(250 + len(k) + len(v) for m in (memo, memo.old) for k, v in m.items()) <= 6000 and max(map(len, memo), default=0) <= P.MEMO_CHARS
+
+
+def test_decoding_starts_from_ids():
+    """The decoder is given other ids than the encoder found."""
+    encoder = P.Encoder(P.public_model())
+    encoder.coded["▁word"] = "".join(f"{i} " for i in encoder.model.encode_unit("▁other"))
+    assert encoder("a word")[2] == "a other"
+
+
 def test_query_digests(spark, tmp_path):
     rows = [(1, "Some words, and more."), (2, None), (3, ""), (1, "Some words, and more."), (None, "x")]
     got = P.digests(P.encode_pieces(spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_tokens long"))).collect()
