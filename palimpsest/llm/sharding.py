@@ -3,21 +3,23 @@
 Rows get a seeded order within their source, hence a fractional rank (rank - 1/2) / rows of the source. All rows
 sorted by that fraction and cut into equal runs give shards in which every source has its share.
 
-No window ever holds a whole source: an order key is first cut into a fixed number of buckets, the buckets are counted
+No window ever holds a whole source: an order key is first cut into buckets, as many as keep one at some BUCKET_ROWS rows, the buckets are counted
 (with map-side sums), running sums of those few counts give what lies before a bucket, and only the rank inside a bucket
 needs its rows together. A source with a third of all rows is dealt over as many buckets as any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import table
 
-#: Powers of two: buckets of the seeded order within a source, and of the fraction over all rows.
-SOURCE_BITS, FRACTION_BUCKETS = 10, 4096
+#: Buckets of the seeded order within a source and of the fraction over all rows are powers of two, these at least.
+SOURCE_BITS, FRACTION_BITS, BUCKET_ROWS = 10, 12, 50_000
 
 
 def interleave(df: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -28,6 +30,8 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "do
     repeated ids are rows like any other; rows that are equal in id and text take neighbouring places. An empty table gives
     an empty result. Other columns of `df`, whatever their names, are not read.
     """
+    wanted = math.ceil(math.log2(max(1, df.count()) / BUCKET_ROWS))
+    source_bits, cells = max(SOURCE_BITS, wanted), 1 << max(FRACTION_BITS, wanted)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
         F.col(id_col).alias("id"),
@@ -36,7 +40,7 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "do
         F.col(source_col).alias("source"),
         F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))).alias("stratum"),
     ).withColumn("h", F.xxhash64(F.lit(seed), "id", "crc", "size"))
-    rows = rows.withColumn("part", F.shiftrightunsigned("h", 64 - SOURCE_BITS).cast("int"))
+    rows = rows.withColumn("part", F.shiftrightunsigned("h", 64 - source_bits).cast("int"))
     order = ["h", "id", "crc", "size"]
 
     counted = rows.groupBy("stratum", "part").agg(F.count("*").alias("n"))
@@ -45,10 +49,10 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "do
     ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("stratum", "part").orderBy(*order))).join(before, ["stratum", "part"])
     ranked = ranked.withColumn("fraction", (F.col("before") + F.col("place") - 0.5) / F.col("rows")).drop("before", "place", "rows", "part")
 
-    ranked = ranked.withColumn("cell", F.floor(F.col("fraction") * FRACTION_BUCKETS).cast("int"))
-    cells = ranked.groupBy("cell").agg(F.count("*").alias("n"))
-    every = W.orderBy("cell")  # over at most FRACTION_BUCKETS rows
-    first = cells.select("cell", (F.sum("n").over(every) - F.col("n")).alias("first"), F.sum("n").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
+    ranked = ranked.withColumn("cell", F.floor(F.col("fraction") * cells).cast("int"))
+    counted = ranked.groupBy("cell").agg(F.count("*").alias("n"))
+    every = W.orderBy("cell")  # over one row for each bucket
+    first = counted.select("cell", (F.sum("n").over(every) - F.col("n")).alias("first"), F.sum("n").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
     placed = ranked.withColumn("place", F.row_number().over(W.partitionBy("cell").orderBy("fraction", *order))).join(first, "cell")
     placed = placed.withColumn("at", F.col("first") + F.col("place") - 1)
     shard = F.expr(f"(at * {int(shards)}) div total")

@@ -5,8 +5,8 @@ takes for listed ones; level 3 those listed keys that level 2 takes, and so on u
 For every key of the corpus the first level that does not hold it tells membership exactly, so no join is needed.
 
 Level 1 is sized for about as many false positives as there are listed keys, from the counted key universe, and each later level has
-some bits per key. Filters travel as binary literals of a size that is known beforehand; above MAX_BITS a list is
-matched by an ordinary join instead.
+some bits per key. Filters travel as binary literals of at most MAX_BITS bits or so: a longer list is taken in blocks, each with a cascade
+of its own and a pass over the urls, in the same way at every size.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from palimpsest.llm.common import LOWER, UPPER, lower_ascii, saved, table
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MAX_BITS = 1 << 26  # 8 MB
-LATER_BITS, MOST_LEVELS = 3.0, 64
+MAX_BITS, MOST_RULES = 1 << 26, 200_000  # 8 MB
+LATER_BITS = 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -68,29 +68,28 @@ def build_level(keys: DataFrame, count: int, bits_per_key: float, seed: int) ->
     return Level(bytes(held), size, level.hashes, seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list[Level] | None:
-    """Levels that tell members of `listed` (column key) from all other keys of `universe` (column key) exactly; None if they'd exceed MAX_BITS."""
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list[Level]:
+    """Levels that tell members of `listed` (column key) from all other keys of `universe` (column key) exactly."""
     listed = listed.where(F.col("key").isNotNull()).distinct()
     members = listed.count()
     if not members:
         return []
     others = universe.where(F.col("key").isNotNull()).distinct().join(listed, "key", "left_anti")
     total = others.count()
-    per_key = max(LATER_BITS, math.log2(max(2.0, total / members)) / math.log(2))
-    if members * per_key > MAX_BITS:
-        return None
     sides, counts, levels = [listed, others], [members, total], []
     while counts[0]:
-        if len(levels) == MOST_LEVELS:
-            raise ValueError("the cascade does not end")
-        if counts[0] * LATER_BITS > MAX_BITS:
-            return None
-        levels.append(build_level(sides[0], counts[0], LATER_BITS if levels else per_key, seed * 1000 + len(levels)))
+        per_key = LATER_BITS + len(levels) / 8 if levels else bits_per_key(members, total)  # more and more, so that it ends
+        levels.append(build_level(sides[0], counts[0], per_key, seed * 1000 + len(levels)))
         taken = sides[1].where(levels[-1].holds(F.col("key")))
         sides, counts = [taken, sides[0]], [taken.count(), counts[0]]
     return levels
 
 
+def bits_per_key(members: int, others: int) -> float:
+    """For about as many false positives as there are members."""
+    return max(LATER_BITS, math.log2(max(2.0, others / members)) / math.log(2))
+
+
 def member(levels: list[Level], key: Column) -> Column:
     """Whether `key`, one of the universe, is listed: the first level without it decides."""
     out = F.lit(len(levels) % 2 == 1)
@@ -122,13 +121,19 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_
     key = lambda n, m: F.when(F.length("path") >= m, F.concat(F.substring_index("host", ".", -n), F.lit("\x01"), F.substring("path", 1, m)))
     keyed = urls.withColumn("keys", F.array_distinct(F.array_compact(F.array(*[key(n, m) for n in labels for m in lengths]))))
     universe = saved(keyed.select(F.explode("keys").alias("key")).distinct())
+    size = max(1, min(MOST_RULES, int(MAX_BITS / bits_per_key(1, universe.count()))))
     lists = {v: [f"{h}\x01{p}" for w, h, p in rules if w == v] for v in ("block", "allow")}
-    cascades = {v: build_cascade(spark.range(1).select(F.explode(F.split(F.lit("\x02".join(lists[v])), "\x02")).alias("key")), universe, i) for i, v in enumerate(lists) if lists[v]}
-    if any(x is None for x in cascades.values()):
-        return _judge_by_join(keyed, rules, id_col)
-    fits = [_fits(v, levels) for v, levels in cascades.items()]
-    best = F.array_max(F.concat(*fits))
-    return _told(keyed.withColumn("best", best), id_col)
+    blocks = max(-(-len(x) // size) for x in lists.values())
+    judged = keyed.withColumn("best", F.lit(None).cast("struct<n: int, m: int, key: string, verdict: string>"))
+    for b in range(blocks):
+        fits = [F.array("best")]
+        for i, (verdict, listed) in enumerate(lists.items()):
+            if own := listed[b * size : (b + 1) * size]:
+                keys = spark.range(1).select(F.explode(F.split(F.lit("\x02".join(own)), "\x02")).alias("key"))
+                fits.append(_fits(verdict, build_cascade(keys, universe, 2 * b + i)))
+        judged = judged.withColumn("best", F.array_max(F.concat(*fits)))
+        judged = saved(judged) if b + 1 < blocks else judged
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.replace(F.col("best.key"), F.lit("\x01"), F.lit("")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def _fits(verdict: str, levels: list[Level]) -> Column:
@@ -136,19 +141,6 @@ def _fits(verdict: str, levels: list[Level]) -> Column:
     return F.transform(F.filter("keys", lambda k: member(levels, k)), told)
 
 
-def _judge_by_join(keyed: DataFrame, rules: list[tuple[str, str, str]], id_col: str) -> DataFrame:
-    """For lists too long for literals: the same verdicts by a join on the key; the best rule of each distinct (id, host, path) is joined back."""
-    listed = keyed.sparkSession.createDataFrame([(f"{h}\x01{p}", v) for v, h, p in rules], "key string, verdict string")
-    found = keyed.select("id", "host", "path", F.explode("keys").alias("key")).join(listed, "key")
-    best = found.groupBy(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max(F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "\x01", 1)).alias("m"), "key", "verdict")).alias("best"))
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
-    return _told(keyed.join(best, on, "left"), id_col)
-
-
-def _told(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(F.col("id").alias(id_col), "host", "path", F.replace(F.col("best.key"), F.lit("\x01"), F.lit("")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
-
-
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page."""
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -25,6 +25,24 @@ def test_rows_law_slots_and_mixture(spark):
         assert all(abs(by[s, source] - n / 8) <= 2 for s in range(8)), source
 
 
+def test_equal_to_a_plain_sort_by_fractional_rank(spark, monkeypatch):
+    """With buckets of any number: each source sorted by its seeded hash as an unsigned number, all rows sorted by (rank - 1/2) / rows, cut into equal runs."""
+    rows = [(i, f"text {i % 50}", ["big", "mid", None][min(2, i % 7 // 3)], None, None) for i in range(500)] + [(7, "same", "mid", None, None)] * 4
+    df = spark.createDataFrame(rows, DOCS)
+    hashed = df.selectExpr("xxhash64(17, doc_id, cast(crc32(text) as bigint), cast(octet_length(text) + 1 as bigint)) AS h", "doc_id", "crc32(text) AS crc", "octet_length(text) + 1 AS size", "source").collect()
+    of = defaultdict(list)
+    for r in hashed:
+        of[r["source"]].append((r["h"], r["doc_id"], r["crc"], r["size"]))
+    every = sorted(((n + 0.5) / len(own), *x) for own in of.values() for n, x in enumerate(sorted(own, key=lambda x: (x[0] % 2**64, *x[1:]))))
+    cut = [-(-s * len(every) // 8) for s in range(9)]
+    want = sorted((x[2], x[3], s, n) for s in range(8) for n, x in enumerate(every[cut[s] : cut[s + 1]]))
+    for rows_each in (50_000, 1):
+        monkeypatch.setattr(S, "BUCKET_ROWS", rows_each)
+        monkeypatch.setattr(S, "SOURCE_BITS", 2)
+        monkeypatch.setattr(S, "FRACTION_BITS", 3)
+        assert sorted((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in S.interleave(df).collect()) == want
+
+
 def test_the_order_depends_on_the_seed_and_nothing_else(spark):
     df = spark.createDataFrame([(i, f"t{i}", "a", None, None) for i in range(100)], DOCS)
     place = lambda d, seed: {r["doc_id"]: (r["shard"], r["slot"]) for r in S.interleave(d, seed=seed).collect()}

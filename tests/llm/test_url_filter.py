@@ -45,10 +45,13 @@ def test_no_rules_and_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], URLS)).collect() == []
 
 
-def test_a_list_too_long_for_literals_is_joined(spark, monkeypatch):
-    monkeypatch.setattr(U, "MAX_BITS", 1)
+def test_a_list_too_long_for_one_filter_is_taken_in_blocks(spark, monkeypatch):
     rows = urls()
-    assert judged(spark, U.RULES, rows) == sorted(map(repr, (brute(u, U.RULES) for u in rows)))
+    rules = [*U.RULES, ("allow", "example.net", "/"), ("block", "b.org", "/fr/"), ("block", "example.com", "/")]
+    for name, most in (("MAX_BITS", 1), ("MOST_RULES", 2)):
+        with monkeypatch.context() as m:
+            m.setattr(U, name, most)
+            assert judged(spark, rules, rows) == sorted(map(repr, (brute(u, rules) for u in rows)))
 
 
 def test_bad_rules_are_refused(spark):
