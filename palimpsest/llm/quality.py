@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table, words
+from palimpsest.llm.common import quoted, table, words
 
 FIT_ROWS, TREES, TREE_ROWS, DEPTH, SEED = 4000, 100, 256, 12, 5
 MOST_LOST = 0.001
@@ -181,7 +181,7 @@ def judge(df: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col
     result's names give way to it; any others stay.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    stay = [c for c in df.columns if c not in new]
+    stay = [c for c in df.columns if c.lower() not in new]
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
     at = stay.index(text_col)
     spark = df.sparkSession
@@ -199,8 +199,8 @@ def judge(df: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col
             made = [*zip(*stats, strict=True), failed, score, kept]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(made, types, strict=True))], names=[*stay, *new])
 
-    kept_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema)
-    return df.select(*stay).mapInArrow(run, f"{kept_fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
+    kept_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*map(quoted, stay)).schema)
+    return df.select(*map(quoted, stay)).mapInArrow(run, f"{kept_fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
