@@ -22,12 +22,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without runs of lines that stand earlier; n_chars follows the text. A document with nothing left goes."""
+    """Documents without runs of lines that stand earlier; n_chars follows the text.
+
+    A document from which lines went is judged again by its length: one with fewer words left than the quality rules ask for goes.
+    What line dedup leaves of a near copy is such a remnant as a rule, which no fingerprint could link to the text it is a copy of.
+    """
     on_path(spark)
     cut = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.where("n_removed_lines < n_lines OR n_lines = 0").select(*docs.columns)
+    left = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    return cut.where((F.col("n_removed_lines") == 0) | (left >= quality.LEAST_WORDS)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
