@@ -13,11 +13,13 @@ Documents are dealt into blocks of some 40 MB of text, and a block is read in th
 distinct grams or its distinct words pass a bound, so what a task holds is bounded by MOST_GRAMS and MOST_WORD_BYTES and the longest
 document, whatever the text is like. A stretch says which words and grams it has, gets back their counts and code lengths, and scores its
 documents by table look-ups. So what moves is a stretch's vocabulary, not a row for each word of each document; documents
-stream, and long ones are read in slices. Grams are held in arrays; so are words while a stretch is gathered, and in one table when it is scored.
+stream, and long ones are read in slices. Grams and words are held in arrays. A stretch knows its words by 64-bit hashes that are made for all
+words of a chunk at once; where two of its words share one, it takes another seed, so look-ups are exact.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +42,9 @@ CHUNK, TALLY_CHUNK = 256 << 10, 1 << 20
 MOST_GRAMS, MOST_WORD_BYTES, WORD_CHUNK = 2_000_000, 16_000_000, 50_000
 NO_PLACE = -(2**63)
 FOLDS, HELD_OUT = 7, 2
-WORD, GRAM, TEXT = 0, 1, 2
+SEED, WORD, GRAM, TEXT = -1, 0, 1, 2
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def folded(text: str | None) -> bytes:
@@ -51,15 +55,58 @@ def is_held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
-def word_slices(data: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
-    """The words of a text, some `size` bytes at a time: a slice ends in white space."""
+def slices(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """A text, some `size` bytes at a time; a slice ends in front of white space, so no word is cut."""
     at = 0
     while len(data) - at > size:
         found = SPACE.search(data, at + size)
         end = found.start() if found else len(data)
-        yield data[at:end].split()
+        yield data[at:end]
         at = end
-    yield data[at:].split()
+    yield data[at:]
+
+
+@functools.lru_cache(2)
+def _powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    base = (0x9E3779B97F4A7C15 + 2 * seed * 0xC2B2AE3D27D4EB4F) % 2**64 | 1
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * CHUNK, x % 2**64, np.uint64)])) for x in (base, pow(base, -1, 2**64)))
+
+
+def word_hashes(data: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of a text: of a polynomial for words up to 255 bytes, XXH64 for longer ones."""
+    own = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~WHITE[own], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    long = np.flatnonzero(ends - starts > 255)
+    if len(own) <= 2 * CHUNK:
+        powers, inverse = _powers(seed)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers[: len(own)])])
+        out = (sums[ends] - sums[starts]) * inverse[starts]
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(28)
+    else:  # a slice is only this long if it is one word
+        out, long = np.zeros(len(starts), np.uint64), np.arange(len(starts))
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], seed)
+    return out, starts
+
+
+def hashes_of(words: pa.Array) -> tuple[int, np.ndarray]:
+    """A seed by which no two of these words, all different, have the same hash, and the hashes."""
+    seed = 0
+    while True:
+        out = np.zeros(len(words), np.uint64)
+        at = 0
+        while at < len(words):
+            own = words[at : at + 4096].to_pylist()
+            while len(own) > 1 and sum(map(len, own)) + len(own) > CHUNK:
+                own = own[: len(own) // 2]
+            out[at : at + len(own)] = word_hashes(b" ".join(own), seed)[0]
+            at += len(own)
+        if len(np.unique(out)) == len(out):
+            return seed, out
+        seed += 1
 
 
 def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +198,8 @@ class _Words:
         self.merged, self.parts, self.new = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())}), [], 0
 
     def add(self, data: bytes, train: bool) -> None:
-        for words in word_slices(data):
-            (self.counts if train else self.others).update(words)
+        for part in slices(data):
+            (self.counts if train else self.others).update(part.split())
             if len(self.counts) + len(self.others) >= WORD_CHUNK:
                 self.flush()
 
@@ -178,7 +225,7 @@ class _Words:
 
 
 class Lookup:
-    """Code lengths of grams (each once) in an open hash table of their numbers, looked up for a whole array at once."""
+    """Values of keys (each once) in an open hash table of their numbers, looked up for a whole array at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(10, math.ceil(math.log2(max(1, len(keys)) * 1.6)))
@@ -203,29 +250,35 @@ class Lookup:
             slot = (slot + np.uint64(1)) & self.mask
             now = self.item[slot]
             if (now < 0).any():
-                raise KeyError("a gram without a code length")
+                raise KeyError("what is looked up was never told")
             found = self.keys[now] == keys[left]
             item[left[found]] = now[found]
             left, slot = left[~found], slot[~found]
         return self.values[item]
 
 
-def vocabulary(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind, block, place, word, gram, n: the distinct words and grams of each stretch with their counts in its training texts.
+def vocabulary(docs: DataFrame, blocks: int, order: int = ORDER) -> DataFrame:
+    """kind, block, place, word, key, n: the distinct words and grams of each stretch with their counts in its training texts; key is the gram or the word's hash, or a seed of those.
 
     `docs` has block, place, held_out and text. A stretch is all documents of a block from a place on up to the next one's; the first begins at NO_PLACE.
     """
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("place", pa.int64()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("place", pa.int64()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
     def told(block: int, place: int, words: _Words, tally: _Tally) -> Iterator[pa.RecordBatch]:
-        def batch(kind: int, word: pa.Array | None, gram: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array(np.full(len(n), place, np.int64)), pa.nulls(len(n), pa.binary()) if word is None else word, pa.nulls(len(n), pa.int64()) if gram is None else gram, n], schema=schema)
-
-        for part in words.told().to_batches(max_chunksize=50_000):
-            yield batch(WORD, part.column(0), None, part.column(1))
+        def batch(kind: int, word: pa.Array | None, key: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+            of = lambda value, type_: pa.array(np.full(len(key), value, type_))
+            return pa.RecordBatch.from_arrays([of(kind, np.int32), of(block, np.int32), of(place, np.int64), pa.nulls(len(key), pa.binary()) if word is None else word, pa.array(key.view(np.int64)), n], schema=schema)
+
+        listed = words.told().combine_chunks()
+        seed, hashes = hashes_of(listed.column(0))
+        yield batch(SEED, None, np.array([seed], np.uint64), pa.array([0]))
+        at = 0
+        for part in listed.to_batches(max_chunksize=50_000):
+            yield batch(WORD, part.column(0), hashes[at : at + part.num_rows], part.column(1))
+            at += part.num_rows
         grams, n = tally.told()
         for at in range(0, len(grams), 50_000):
-            yield batch(GRAM, None, pa.array(grams[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000]))
+            yield batch(GRAM, None, grams[at : at + 50_000], pa.array(n[at : at + 50_000]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begin, last, words, tally = None, NO_PLACE, None, _Words(), _Tally(order)
@@ -244,8 +297,14 @@ def vocabulary(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if now is not None:
             yield from told(now, begin, words, tally)
 
-    dealt = docs.select("block", "place", "held_out", "text").repartition("block").sortWithinPartitions("block", "place")
-    return dealt.mapInArrow(run, "kind int, block int, place long, word binary, gram long, n long")
+    dealt = _dealt(docs.select("block", "place", "held_out", "text"), blocks).sortWithinPartitions("block", "place")
+    return dealt.mapInArrow(run, "kind int, block int, place long, word binary, key long, n long")
+
+
+def _dealt(df: DataFrame, blocks: int) -> DataFrame:
+    """One block for each partition, or as many blocks as there are more of them than the session's shuffle partitions."""
+    parts = min(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionById(parts, F.col("block") % parts)
 
 
 def _suffix(col: str, symbols: int) -> Column:
@@ -302,27 +361,27 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
     blocks = LEAST_BLOCKS + size // BLOCK_BYTES
     docs = docs.withColumn("place", F.xxhash64("id", "text")).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
     with small_batches(df.sparkSession):
-        found = saved(vocabulary(docs, order))
+        found = saved(vocabulary(docs, blocks, order))
     same = W.partitionBy("word")
-    words = saved(found.where(F.col("kind") == WORD).select("block", "place", "word", F.sum("n").over(same).alias("c"), (F.struct("block", "place") == F.min(F.struct("block", "place")).over(same)).alias("first")))
+    words = saved(found.where(F.col("kind") == WORD).select("block", "place", "key", F.sum("n").over(same).alias("c"), (F.struct("block", "place") == F.min(F.struct("block", "place")).over(same)).alias("first")))
     total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + trained, distinct + (trained > 0)
-    grams = found.where(F.col("kind") == GRAM).select("block", "place", "gram", "n")
+    grams = found.where(F.col("kind") == GRAM).select("block", "place", F.col("key").alias("gram"), "n")
     with scratch(df.sparkSession) as out:
         lengths = out(code_lengths(saved(grams.groupBy("gram").agg(F.sum("n").alias("n"))), order))
-    columns = {"kind": "int", "block": "int", "place": "long", "word": "binary", "gram": "long", "value": "double", "id": "long", "held_out": "boolean", "text": "string"}
+    columns = {"kind": "int", "block": "int", "place": "long", "key": "long", "value": "double", "id": "long", "held_out": "boolean", "text": "string"}
 
     def shaped(x: DataFrame, kind: int) -> DataFrame:
         return x.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in x.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
 
-    every = shaped(words.select("block", "place", "word", F.log10(F.col("c") + 1).alias("value")), WORD)
-    every = every.union(shaped(grams.select("block", "place", "gram").join(lengths, "gram"), GRAM)).union(shaped(docs, TEXT))
-    dealt = every.repartition("block").sortWithinPartitions("block", "place", "kind")
+    every = shaped(found.where(F.col("kind") == SEED), SEED).union(shaped(words.withColumn("value", F.log10(F.col("c") + 1)), WORD))
+    every = every.union(shaped(grams.join(lengths, "gram").withColumnRenamed("gram", "key"), GRAM)).union(shaped(docs, TEXT))
+    dealt = _dealt(every, blocks).sortWithinPartitions("block", "place", "kind")
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("n_symbols", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, values, grams, lookup = None, {}, [], None
-        same: dict[float, float] = {}  # few different counts, so few objects
+        now, seed, words, grams, lookups = None, 0, [], [], None
+        table = lambda parts: Lookup(*(np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0)), *parts, strict=True)))
         for batch in it:
             kinds, own, places = (batch.column(i).to_numpy() for i in range(3))
             cuts = np.flatnonzero((kinds[1:] != kinds[:-1]) | (own[1:] != own[:-1]) | (places[1:] != places[:-1]) & (kinds[1:] != TEXT)) + 1
@@ -331,36 +390,52 @@ def score_documents(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", t
                     continue
                 part = batch.slice(a, b - a)
                 if kinds[a] != TEXT and (own[a], places[a]) != now:
-                    now, values, grams, lookup, same = (own[a], places[a]), {}, [], None, {}
-                if kinds[a] == WORD:
-                    values.update(zip(part.column(3).to_pylist(), [same.setdefault(x, x) for x in part.column(5).to_pylist()], strict=True))
-                elif kinds[a] == GRAM:
-                    grams.append((part.column(4).to_numpy().view(np.uint64), part.column(5).to_numpy()))
+                    now, words, grams, lookups = (own[a], places[a]), [], [], None
+                if kinds[a] == SEED:
+                    seed = part.column(3)[0].as_py()
+                elif kinds[a] != TEXT:
+                    (words if kinds[a] == WORD else grams).append((part.column(3).to_numpy().view(np.uint64).copy(), part.column(4).to_numpy().copy()))
                 else:
-                    if lookup is None:
-                        lookup = Lookup(*(np.concatenate(x) for x in zip(*grams, strict=True)))
-                        grams = []
-                    yield scored(part, values, lookup)
+                    if lookups is None:
+                        lookups = table(words), table(grams)
+                        words, grams = [], []
+                    yield scored(part, seed, *lookups)
 
-    def scored(part: pa.RecordBatch, values: dict[bytes, float], lookup: Lookup) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, seed: int, words: Lookup, lookup: Lookup) -> pa.RecordBatch:
         n = part.num_rows
         tokens, known, symbols = np.ones(n, np.int64), np.full(n, int(trained > 0), np.int64), np.ones(n, np.int64)
         logs, score = np.zeros(n), np.zeros(n)
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal waiting, size
+            ends = np.cumsum([len(x) + 1 for _, x in waiting])
+            hashes, starts = word_hashes(b" ".join([x for _, x in waiting]), seed)
+            got = words(hashes)
+            at = np.array([i for i, _ in waiting], np.int64)[np.searchsorted(ends, starts, "right")]
+            np.add(tokens, np.bincount(at, minlength=n), out=tokens)
+            np.add(known, np.bincount(at[got > 0], minlength=n), out=known)
+            np.add(logs, np.bincount(at, got, n), out=logs)
+            waiting, size = [], 0
 
         def texts() -> Iterator[tuple[int, bytes]]:
-            for i, text in enumerate(part.column(8)):
+            nonlocal size
+            for i, text in enumerate(part.column(7)):
                 data = folded(text.as_py())
                 symbols[i] += len(data)
-                for ws in word_slices(data):
-                    got = [*map(values.__getitem__, ws)]
-                    tokens[i] += len(got)
-                    known[i] += len(got) - got.count(0.0)
-                    logs[i] += sum(got)
+                for x in slices(data):
+                    if waiting and size + len(x) + 1 > CHUNK:
+                        flush()
+                    waiting.append((i, x))
+                    size += len(x) + 1
                 yield i, data
+            if waiting:
+                flush()
 
         for numbers, grams, starts in chunks(texts(), order):
             np.add.at(score, numbers, np.add.reduceat(lookup(grams), starts))
-        made = [part.column(6), part.column(7), *map(pa.array, (tokens, known, logs, score, symbols))]
+        made = [part.column(5), part.column(6), *map(pa.array, (tokens, known, logs, score, symbols))]
         return pa.RecordBatch.from_arrays(made, schema=schema)
 
     with small_batches(df.sparkSession):

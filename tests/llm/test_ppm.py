@@ -92,7 +92,8 @@ def test_slices_of_words_and_lookups():
     rng = random.Random(4)
     data = b"".join(rng.choice([b"a", b"bc", b" ", b"\t", b"\n", b"dddddddd"]) for _ in range(400))
     for size in (1, 7, 50, 10_000):
-        assert [w for ws in P.word_slices(data, size) for w in ws] == data.split()
+        parts = [*P.slices(data, size)]
+        assert b"".join(parts) == data and [w for x in parts for w in x.split()] == data.split()
     keys = P.np.unique(P.np.array([rng.getrandbits(48) for _ in range(5000)], P.np.uint64))
     table = P.Lookup(keys, P.np.arange(len(keys), dtype=float))
     at = P.np.array([rng.randrange(len(keys)) for _ in range(20000)])
@@ -101,6 +102,27 @@ def test_slices_of_words_and_lookups():
         table(P.np.array([2**50], P.np.uint64))
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(6)
+    words = [*{bytes(rng.choice(b"abcdefgh\xc3\xa9") for _ in range(rng.choice([1, 2, 3, 5, 40, 255, 256, 900]))) for _ in range(3000)}]
+    seed, listed = P.hashes_of(P.pa.array(words, P.pa.binary()))
+    of = dict(zip(words, listed.tolist(), strict=True))
+    text = [rng.choice(words) for _ in range(2000)]
+    data = b"".join(w + rng.choice([b" ", b"\n\t ", b"\r"]) for w in text)
+    for part in P.slices(b" " + data):
+        hashes, starts = P.word_hashes(part, seed)
+        assert hashes.tolist() == [of[w] for w in part.split()] and all(part[a:].startswith(w) for a, w in zip(starts.tolist(), part.split(), strict=True))
+    assert P.word_hashes(b"x" * 3_000_000)[0].tolist() == [P.xxhash.xxh64_intdigest(b"x" * 3_000_000, 0)]
+    assert len(P.word_hashes(b"")[0]) == len(P.word_hashes(b" \n")[0]) == 0
+
+
+def test_words_that_share_a_hash_take_another_seed(monkeypatch):
+    plain = P.word_hashes
+    monkeypatch.setattr(P, "word_hashes", lambda data, seed=0: (lambda h, s: (h % P.np.uint64(7) if seed < 2 else h, s))(*plain(data, seed)))
+    seed, hashes = P.hashes_of(P.pa.array([b"w%d" % n for n in range(50)], P.pa.binary()))
+    assert seed == 2 and len(set(hashes.tolist())) == 50
+
+
 def test_nothing_to_learn_from_and_empty_tables(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = P.score_documents(spark.createDataFrame([(held, "ab", 0.0)], DOCS)).first()
