@@ -19,7 +19,7 @@ WS = T.WS
 
 #: DuckDB only: the folds that several of the SQL texts below start from.
 OWN_VIEWS = {
-    "own_live": "SELECT * FROM fix_op o WHERE NOT EXISTS (SELECT 1 FROM fix_supersedes s WHERE s.target_id = o.id)",
+    "own_live": "SELECT o.* FROM fix_op o ANTI JOIN fix_supersedes s ON s.target_id = o.id",
     "own_text": "SELECT segment_id, new_text FROM own_live WHERE operation = 'replace_text' AND status = 'applied' QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY created_at DESC, seq DESC) = 1",
     "own_said": "SELECT segment_id, new_text FROM own_live WHERE operation = 'replace_text' QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY created_at DESC, seq) = 1",
     "own_nudge": "SELECT segment_id, edge, new_time FROM own_live WHERE operation = 'time_nudge' QUALIFY row_number() OVER (PARTITION BY segment_id, edge ORDER BY created_at DESC, seq DESC) = 1",
@@ -60,6 +60,18 @@ WHERE array_to_string(regexp_extract_all(lower(s.text), '[\\p{L}\\p{Nl}\\p{No}]+
     "own_marker": "SELECT session_id, segment_id, decision FROM (SELECT * FROM fix_review QUALIFY row_number() OVER (PARTITION BY session_id, segment_id ORDER BY ts DESC, seq DESC) = 1) WHERE decision <> 'unreviewed'",
 }
 
+_SHIFTED = """
+SELECT s.id, CASE WHEN l.direction = 'push' THEN rtrim(substring(rtrim(s.text), 1, length(rtrim(s.text)) - length(l.moved))) WHEN l.direction = 'pull' THEN CASE WHEN rtrim(s.text) = '' THEN l.moved ELSE concat(rtrim(s.text), ' ', l.moved) END
+  WHEN r.direction = 'push' THEN CASE WHEN ltrim(s.text) = '' THEN r.moved ELSE concat(r.moved, ' ', ltrim(s.text)) END WHEN r.direction = 'pull' THEN ltrim(substring(ltrim(s.text), length(r.moved) + 1)) ELSE s.text END AS text
+FROM fix_segment s LEFT JOIN fix_shift l ON l.left_id = s.id LEFT JOIN fix_shift r ON r.right_id = s.id"""
+OWN_VIEWS["own_shifted"] = _SHIFTED
+#: The effective spine with boundary shifts before all other corrections, and as an editor shows it, with pruned segments in place.
+OWN_VIEWS["own_slayer"] = OWN_VIEWS["own_layer"].replace("coalesce(t.new_text, s.text)", "coalesce(t.new_text, h.text)").replace("LEFT JOIN own_text t", "JOIN own_shifted h ON h.id = s.id LEFT JOIN own_text t")
+OWN_VIEWS["own_vlayer"] = OWN_VIEWS["own_layer"].split(" WHERE ")[0]
+for _kind in "sv":
+    OWN_VIEWS[f"own_{_kind}insert"] = OWN_VIEWS["own_insert"].replace("own_layer", f"own_{_kind}layer")
+    OWN_VIEWS[f"own_{_kind}eff"] = OWN_VIEWS["own_eff"].replace("own_layer", f"own_{_kind}layer").replace("own_insert", f"own_{_kind}insert")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -140,13 +152,13 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "src_11_variant_texts",
-    "SELECT id AS segment_id, t.who AS transcriber, CASE t.who WHEN 'a' THEN substring(whole, 1, 6) ELSE substring(whole, idx + 1, 4) END AS variant_text FROM fix_segment JOIN (SELECT doc_id, text AS whole FROM documents) d ON d.doc_id = source_id CROSS JOIN (SELECT 'a' AS who UNION ALL SELECT concat('t', '-b')) t WHERE t.who = 'a' OR idx % 2 = 1",
+    "SELECT id AS segment_id, t.who AS transcriber, CASE t.who WHEN 'a' THEN whole ELSE substring(whole, idx + 1) END AS variant_text FROM fix_segment JOIN (SELECT doc_id, text AS whole FROM documents) d ON d.doc_id = source_id CROSS JOIN (SELECT 'a' AS who UNION ALL SELECT concat('t', '-b')) t WHERE t.who = 'a' OR idx % 2 = 1",
 )
 def _(v: Views) -> DataFrame:
     docs = v.sql("SELECT doc_id, text FROM documents")
     t = docs.select(F.concat(F.lit("ta"), F.col("doc_id")).alias("id"), "text", F.lit("a").alias("transcriber")).unionByName(docs.select(F.concat(F.lit("tb"), F.col("doc_id")).alias("id"), "text", F.lit("t-b").alias("transcriber")))
     cut = lambda who, a, b: F.struct(F.concat(F.lit(who), F.col("source_id")).alias("transcript"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(None).cast("string").alias("content_hash"))
-    slices = F.array(cut("ta", F.lit(2), F.lit(3)), F.when(F.col("idx") % 2 == 1, cut("tb", F.col("idx"), F.col("idx") + 4)).otherwise(cut("tb", F.lit(None), F.lit(1))), cut("ta", F.lit(0), F.lit(6)), cut("none", F.lit(0), F.lit(1)))
+    slices = F.array(cut("ta", F.lit(2), F.lit(3)), F.when(F.col("idx") % 2 == 1, cut("tb", F.col("idx"), F.lit(2**31 - 1))).otherwise(cut("tb", F.lit(None), F.lit(1))), cut("ta", F.lit(0), F.lit(2**31 - 1)), cut("none", F.lit(0), F.lit(1)))
     return readers.variant_texts(v.segments.withColumn("text_slices", slices), t).drop("pos")
 
 
@@ -158,13 +170,13 @@ def _(v: Views) -> DataFrame:
     return overlay.speaker_entities(rows).select("id", "canonical_name", "sort_name")
 
 
-@query("src_18_alignment_words", "SELECT d.doc_id AS source_id, 10e0 * (d.doc_id % 3) + (w.i * 8 - 8) / 16e0 AS s, 10e0 * (d.doc_id % 3) + (w.i * 8 - 1) / 16e0 AS e, w.x AS text FROM documents d, LATERAL (SELECT unnest(range(1, least(20, len(string_split(text, ' '))) + 1)) AS i, string_split(text, ' ')[i] AS x) w WHERE d.text <> '' AND d.doc_id % 5 <> 0")
+@query("src_18_alignment_words", "SELECT d.doc_id AS source_id, 10e0 * (d.doc_id % 3) + (w.i * 8 - 8) / 16e0 AS s, 10e0 * (d.doc_id % 3) + (w.i * 8 - 1) / 16e0 AS e, w.x AS text FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, string_split(text, ' ')[i] AS x) w WHERE d.text <> '' AND d.doc_id % 5 <> 0")
 def _(v: Views) -> DataFrame:
     docs = v.sql("SELECT doc_id, text FROM documents")
     t = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("r"), F.col("doc_id")).alias("rendition_id"), "text")
     r = docs.select(F.concat(F.lit("r"), F.col("doc_id")).alias("id"), F.concat(F.lit("a"), F.col("doc_id")).alias("audio_segment_id"))
     a = docs.select(F.concat(F.lit("a"), F.col("doc_id")).alias("id"), F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 5 != 0, 10.0 * (F.col("doc_id") % 3)).alias("start"))
-    items = F.to_json(F.transform(F.slice(F.split("text", " "), 1, 20), lambda x, i: F.struct((i * 8 / 16.0).alias("start_time"), ((i * 8 + 7) / 16.0).alias("end_time"), x.alias("text"))))
+    items = F.to_json(F.transform(F.split("text", " "), lambda x, i: F.struct((i * 8 / 16.0).alias("start_time"), ((i * 8 + 7) / 16.0).alias("end_time"), x.alias("text"))))
     cache = docs.where("text <> ''").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("text_hash"), items.alias("items"), F.lit(2.0).alias("created_at")).unionByName(docs.select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("text_hash"), F.lit("[]").alias("items"), F.lit(1.0).alias("created_at")))
     return readers.alignment_words(t, r, a, cache).drop("transcript_id")
 
@@ -211,9 +223,9 @@ def _(v: Views) -> DataFrame:
     return selectors.spine(v.spines, skeleton="Legacy").select("id", "source_id", "skeleton_hash")
 
 
-@query("flt_10_spine_labels", "SELECT DISTINCT source_id, coalesce(skeleton_hash, 'legacy') AS selector, coalesce(left(split_part(skeleton_hash, ':', -1), 8), 'legacy') AS tag, CASE WHEN skeleton_hash IS NULL THEN 'vad-only (pre-split)' ELSE concat('policy-', idx % 3, ' · ', left(split_part(skeleton_hash, ':', -1), 8)) END AS label FROM fix_spine WHERE idx < 3")
+@query("flt_10_spine_labels", "SELECT DISTINCT source_id, coalesce(skeleton_hash, 'legacy') AS selector, coalesce(left(split_part(skeleton_hash, ':', -1), 8), 'legacy') AS tag, CASE WHEN skeleton_hash IS NULL THEN 'vad-only (pre-split)' ELSE concat('policy-', idx % 3, ' · ', left(split_part(skeleton_hash, ':', -1), 8)) END AS label FROM fix_spine")
 def _(v: Views) -> DataFrame:
-    named = selectors.observed_spines(v.spines.where("idx < 3"))
+    named = selectors.observed_spines(v.spines)
     return named.select("source_id", selectors.spine_selector().alias("selector"), selectors.spine_tag().alias("tag"), F.regexp_replace(selectors.spine_label(), "vad-only ·", "policy-0 ·").alias("label"))
 
 
@@ -515,6 +527,11 @@ def _(v: Views) -> DataFrame:
     return v.effective
 
 
+@query("prj_01_with_shifts", "SELECT source_id, pos, id, idx, text, start_time, end_time, inserted AS is_inserted, label, rank FROM own_seff")
+def _(v: Views) -> DataFrame:
+    return projection.effective_spine(v.segments, v.corrections.unionByName(v.prunes).unionByName(v.shifts), v.superseded)
+
+
 @query("prj_02_text_edits", "SELECT id AS correction_id, CASE operation WHEN 'replace_text' THEN 'replace_text' END AS edit, new_text AS text, segment_id AS target FROM own_live WHERE operation = 'replace_text' AND status = 'applied' UNION ALL SELECT id, 'prune', NULL, segment_id FROM fix_pruned")
 def _(v: Views) -> DataFrame:
     edits = projection.text_edits(overlay.active(v.corrections.unionByName(v.prunes), v.superseded))
@@ -542,8 +559,7 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "prj_06_boundary_shifts",
-    """SELECT s.id, s.pos, CASE WHEN l.id IS NOT NULL THEN rtrim(substring(rtrim(s.text), 1, length(rtrim(s.text)) - length(l.moved))) WHEN r.id IS NOT NULL THEN CASE WHEN ltrim(s.text) = '' THEN r.moved ELSE concat(r.moved, ' ', ltrim(s.text)) END ELSE s.text END AS text
-FROM (SELECT *, CAST(idx AS BIGINT) AS pos FROM fix_segment) s LEFT JOIN fix_shift l ON l.left_id = s.id LEFT JOIN fix_shift r ON r.right_id = s.id""",
+    "SELECT h.id, CAST(s.idx AS BIGINT) AS pos, h.text FROM own_shifted h JOIN fix_segment s ON s.id = h.id",
 )
 def _(v: Views) -> DataFrame:
     return projection.effective_spine(v.segments, v.shifts, v.superseded).select("id", "pos", "text")
@@ -555,6 +571,12 @@ def _(v: Views) -> DataFrame:
     return v.segments.select("id", plan.alias("p")).where("p IS NOT NULL").select("id", "p.moved", "p.left")
 
 
+@query("prj_06_plan_pull", "SELECT id, regexp_extract(text, '^ *([^ ]+)', 1) AS moved, concat('words before ', regexp_extract(text, '^ *([^ ]+)', 1)) AS \"left\", ltrim(regexp_replace(text, '^ *[^ ]+', '')) AS \"right\" FROM fix_segment WHERE trim(text) <> ''")
+def _(v: Views) -> DataFrame:
+    plan = projection.plan_boundary_shift(F.lit("words before"), F.col("text"), "pull")
+    return v.segments.select("id", plan.alias("p")).where("p IS NOT NULL").select("id", "p.*")
+
+
 @query(
     "prj_07_reanchor",
     """SELECT id, CASE WHEN substring(now, char_start + 1, 9) = snapshot THEN char_start ELSE CAST(list_sort(list_transform(list_filter(range(0, CAST(length(now) AS BIGINT)), lambda i: substring(now, i + 1, 9) = snapshot), lambda i: {'d': abs(i - char_start), 'i': i}))[1].i AS INT) END AS char_start
@@ -726,11 +748,12 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "cmd_09_gate_table",
-    "SELECT coalesce(s.source_id, g.source_id) AS source_id, s.segments, s.end_s, g.extraction_status, g.annotated_through FROM (SELECT source_id, count(*) AS segments, max(end_time) AS end_s FROM fix_segment WHERE source_id % 2 = 0 GROUP BY 1) s FULL JOIN own_gate g ON g.source_id = s.source_id",
+    "SELECT coalesce(s.source_id, g.source_id) AS source_id, s.segments, s.end_s, g.extraction_status, g.annotated_through FROM (SELECT source_id, count(*) AS segments, max(end_time) AS end_s FROM fix_segment GROUP BY 1) s FULL JOIN (SELECT * FROM own_gate UNION ALL SELECT source_id + 10000000, extraction_status, annotated_through FROM own_gate WHERE source_id % 5 = 0) g ON g.source_id = s.source_id",
 )
 def _(v: Views) -> DataFrame:
     none = F.lit(None).cast("string")
-    table = commands.gate_table(v.segments.where("source_id % 2 = 0").withColumns({"skeleton_hash": none, "split_policy": none}), v.gates)
+    spineless = v.gates.where("source_id % 5 = 0").withColumn("source_id", F.col("source_id") + 10000000)
+    table = commands.gate_table(v.segments.withColumns({"skeleton_hash": none, "split_policy": none}), v.gates.unionByName(spineless))
     return table.select("source_id", "segments", "end_s", "extraction_status", "annotated_through")
 
 
@@ -805,11 +828,11 @@ def _(v: Views) -> DataFrame:
     return journal.replay(_journal(v))["correction"].select("id", F.col("source_id").cast("long").alias("source_id"), "correction_type", "status", "created_at")
 
 
-@query("str_03_anchors", "SELECT 'd' || source_id AS id, count(*) AS n, min(idx) AS first_idx FROM fix_segment WHERE idx % 5 = 1 GROUP BY source_id")
+@query("str_03_anchors", "SELECT 'd' || s.source_id AS id, concat('h', s.source_id % 50) AS content_hash, row_number() OVER (PARTITION BY s.source_id ORDER BY idx) - 1 AS n, idx, start_time, end_time, text FROM fix_segment s")
 def _(v: Views) -> DataFrame:
-    ids = v.segments.where("idx % 5 = 1").select("id")
     src = v.view("fix_source").select(F.col("source_id").alias("id"), "content_hash")
-    return readers.segment_anchor(v.segments, src, ids).select(F.concat(F.lit("d"), F.col("source_id")).alias("id"), F.size("segments").cast("long").alias("n"), F.col("segments")[0]["idx"].alias("first_idx"))
+    rows = readers.segment_anchor(v.segments, src, v.segments.select("id")).select(F.concat(F.lit("d"), F.col("source_id")).alias("id"), "content_hash", F.posexplode("segments").alias("n", "s"))
+    return rows.select("id", "content_hash", F.col("n").cast("long").alias("n"), "s.*")
 
 
 @query("cmd_11_session_activity", "SELECT session_id, sum(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS ops, min(created_at) AS first_ts, max(created_at) AS last_ts FROM fix_op GROUP BY 1")
@@ -819,8 +842,16 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "viw_03_view",
-    "SELECT source_id, count(*) AS rows, count(*) FILTER (is_pruned) AS pruned, count(*) FILTER (is_marked) AS marked FROM (SELECT s.source_id, s.id, s.id IN (SELECT segment_id FROM own_pruned) AS is_pruned, s.id IN (SELECT segment_id FROM own_live WHERE operation = 'mark') AS is_marked FROM fix_segment s) GROUP BY 1",
+    """SELECT e.source_id, e.pos, e.id, e.text, e.inserted AS is_inserted, e.id IN (SELECT segment_id FROM own_pruned) AS is_pruned, m.classes IS NOT NULL AS is_marked, m.classes AS mark_classes,
+  EXISTS (SELECT 1 FROM fix_overlay o WHERE o.segment_id = e.id AND o.id NOT IN (SELECT target_id FROM fix_dropped)) AS has_overlay, a.entity_id, g.members AS split_group
+FROM own_veff e LEFT JOIN (SELECT segment_id, array_to_string(list_sort(list(DISTINCT mark_class)), ',') AS classes FROM own_live WHERE operation = 'mark' GROUP BY 1) m ON m.segment_id = e.id
+LEFT JOIN (SELECT segment_id, entity_id FROM own_live WHERE operation = 'speaker_assign' QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY created_at DESC, seq DESC) = 1) a ON a.segment_id = e.id
+LEFT JOIN (SELECT substring(rationale, 13) AS insert_id, string_agg(id, ',' ORDER BY id) AS members FROM own_live WHERE rationale LIKE 'chunk-split:%' GROUP BY 1) g ON g.insert_id = e.id""",
 )
 def _(v: Views) -> DataFrame:
-    frame = commands.spine_view(v.segments, v.all_corrections, v.dropped).where("NOT is_inserted")
-    return frame.groupBy("source_id").agg(F.count("*").alias("rows"), F.count_if("is_pruned").alias("pruned"), F.count_if("is_marked").alias("marked"))
+    frame = commands.spine_view(v.segments, v.all_corrections, v.dropped)
+    return frame.select("source_id", "pos", "id", "text", "is_inserted", "is_pruned", "is_marked", F.array_join("mark_classes", ",").alias("mark_classes"), "has_overlay", "entity_id", F.array_join("split_group", ",").alias("split_group"))
+
+
+
+from palimpsest.catalog import writes  # noqa: E402, F401 - registers the queries of the writers

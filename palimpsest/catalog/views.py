@@ -90,10 +90,11 @@ FROM fix_correction c JOIN fix_segment s ON s.id = c.segment_id WHERE c.correcti
     "fix_dropped": """
 SELECT target_id FROM fix_supersedes
 UNION ALL SELECT concat('o', seq) FROM fix_correction WHERE correction_type = 'mark' AND k % 14 = 0""",
-    # a push of the last word over every boundary behind a segment whose idx is a multiple of four
+    # boundaries with an even idx in front: a push of the last word over every other one, a pull of the first word over the rest
     "fix_shift": r"""
-SELECT concat('b', a.source_id, '-', a.idx) AS id, a.source_id, a.id AS left_id, b.id AS right_id, regexp_extract(a.text, '([^ ]+) *$', 1) AS moved
-FROM fix_segment a JOIN fix_segment b ON b.source_id = a.source_id AND b.idx = a.idx + 1 WHERE a.idx % 4 = 0 AND a.text LIKE '%_ _%' AND a.source_id % 2 = 0""",
+SELECT concat('b', a.source_id, '-', a.idx) AS id, a.source_id, a.id AS left_id, b.id AS right_id, CASE WHEN a.idx % 4 = 0 THEN 'push' ELSE 'pull' END AS direction,
+       CASE WHEN a.idx % 4 = 0 THEN regexp_extract(a.text, '([^ ]+) *$', 1) ELSE regexp_extract(b.text, '^ *([^ ]+)', 1) END AS moved
+FROM fix_segment a JOIN fix_segment b ON b.source_id = a.source_id AND b.idx = a.idx + 1 WHERE a.idx % 2 = 0 AND CASE WHEN a.idx % 4 = 0 THEN a.text ELSE b.text END LIKE '%_ _%'""",
     "fix_audio": "SELECT concat('a', source_id, '-', n) AS id, source_id, CAST(n AS INT) AS idx, n * 40e0 AS start, (n + 1) * 40e0 AS end_ FROM (SELECT DISTINCT source_id, CAST(floor(start_time / 40e0) AS BIGINT) AS n FROM fix_segment)",
     "fix_spine": """
 SELECT *, CASE idx % 3 WHEN 1 THEN concat('sha256:', md5(concat('a', source_id))) WHEN 2 THEN concat('sha256:', md5(concat('b', source_id))) END AS skeleton_hash,
@@ -112,9 +113,26 @@ UNION ALL SELECT source_id, s, e, text FROM fix_word""",
 }
 
 
+#: Decisions, in one SQL text for both engines; arrays and structs are put together on either side.
+STAMP = "source_id, session_id, created_at, seq"
+DECIDED = {
+    "fix_d_prune": "SELECT concat('p', source_id) AS id, source_id, 'u0' AS session_id, 1e0 AS created_at, 1 AS seq, array_agg(id) AS segment_ids FROM fix_segment WHERE text = '' GROUP BY source_id",
+    "fix_d_text": f"SELECT concat('t', seq) AS id, {STAMP}, segment_id, new_text, concat('was ', seq) AS old_text, CASE WHEN k % 3 = 0 THEN concat('c', seq) END AS supersedes_id, CASE WHEN k % 7 = 0 THEN 'model' ELSE 'human' END AS actor FROM fix_correction WHERE correction_type = 'text_content'",
+    "fix_d_shift": f"SELECT concat('b', seq) AS id, {STAMP}, segment_id AS left_id, concat(segment_id, 'r') AS right_id, concat('w', k) AS text, CASE k % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'pull' ELSE 'sideways' END AS direction FROM fix_correction WHERE correction_type = 'timing'",
+    "fix_d_reject": f"SELECT concat('r', seq) AS id, {STAMP}, id AS rejected_id, CASE WHEN k % 4 = 0 THEN concat('g', seq) END AS member FROM fix_correction",
+    "fix_d_mark": f"SELECT concat('m', seq) AS id, {STAMP}, CASE k % 4 WHEN 0 THEN 'segment' WHEN 1 THEN 'boundary' WHEN 2 THEN 'span' ELSE 'page' END AS kind, segment_id, CASE WHEN k % 8 < 4 THEN concat(segment_id, 'r') END AS right_id, k AS char_start, k + 3 AS char_end, CASE WHEN k % 5 > 0 THEN concat('said ', k) END AS snapshot, CASE WHEN k % 6 = 0 THEN ' -odd' ELSE concat('  ', mark_class, ' ') END AS mark_class FROM fix_correction WHERE correction_type = 'mark'",
+    "fix_d_nudge": f"SELECT concat('n', seq) AS id, {STAMP}, segment_id, CASE WHEN k % 9 = 0 THEN 'middle' ELSE edge END AS edge, new_time, CASE WHEN k % 2 = 0 THEN concat(segment_id, 'r') END AS other_id FROM fix_correction WHERE correction_type = 'timing'",
+    "fix_d_insert": f"SELECT concat('i', seq) AS id, {STAMP}, segment_id AS after_id, CASE WHEN k % 2 = 0 THEN concat(segment_id, 'r') END AS before_id, ins_start AS start_time, ins_end - (k % 3) / 16e0 AS end_time, CASE WHEN k % 3 > 0 THEN '' END AS text, label, (k % 3) / 2e0 AS rank FROM fix_correction WHERE correction_type = 'insertion'",
+    "fix_d_split": f"SELECT concat('s', seq) AS id, {STAMP}, segment_id, ins_start - (k % 5) / 16e0 AS split_time, ins_start AS end_time, CASE WHEN k % 6 = 0 THEN ' ' ELSE concat('left ', k) END AS left_text, concat('right ', k) AS right_text, concat('was ', k) AS old_text, segment_id AS after_id, concat(segment_id, 'r') AS before_id FROM fix_correction WHERE correction_type = 'insertion'",
+    "fix_d_assign": f"SELECT concat('a', seq) AS id, {STAMP}, segment_id, CASE WHEN k % 2 = 0 THEN concat(segment_id, 'r') END AS other_id, CASE WHEN k % 11 > 0 THEN entity_id ELSE '' END AS entity_id, CASE k % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'accept' ELSE 'guess' END AS verdict FROM fix_correction WHERE correction_type = 'speaker'",
+    "fix_d_voice": f"SELECT concat('v', seq) AS id, {STAMP}, segment_id, char_start, char_end, snapshot, CASE WHEN seq % 3 = 0 THEN '' ELSE label END AS label, start_time, end_time, CASE WHEN seq % 5 = 0 THEN '  ' ELSE snapshot END AS text FROM fix_overlay",
+    "fix_d_gate": "SELECT concat('n', id) AS id, source_id, 'u0' AS session_id, created_at, CAST(created_at AS BIGINT) AS seq, CASE WHEN source_id % 9 = 0 THEN 'done' ELSE extraction_status END AS extraction_status, annotated_through - CASE WHEN source_id % 7 = 0 THEN 100000e0 ELSE 0e0 END AS annotated_through FROM fix_gate",
+}
+
+
 def with_views(dialect: str, sql: str, tables: str = "", more: dict[str, str] | None = None) -> str:
     """A query with the views that it needs in front of it; `tables` are definitions that come first, `more` other views by name."""
-    known = VIEWS | {"fix_line": LINES[dialect]} | (more or {})
+    known = VIEWS | DECIDED | {"fix_line": LINES[dialect]} | (more or {})
     needed: list[str] = []
 
     def need(text: str) -> None:
@@ -216,7 +234,7 @@ class Views:
     @property
     def shifts(self) -> DataFrame:
         rows = self.view("fix_shift").withColumns({"seq": F.lit(0).cast("long"), "created_at": F.lit(0.0), "session_id": F.lit("u0"), "correction_type": F.lit("grouping"), "operation": F.lit("shift_boundary"), "status": F.lit("applied"), "rationale": F.lit(None).cast("string")})
-        return wide(rows, boundary_after=F.col("left_id"), right_segment_id=F.col("right_id"), text=F.col("moved"), direction=F.lit("push"))
+        return wide(rows, boundary_after=F.col("left_id"), right_segment_id=F.col("right_id"), text=F.col("moved"), direction=F.col("direction"))
 
     @property
     def all_corrections(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,16 @@ def match(proposals: DataFrame, inserts: DataFrame, window: tuple[float, float |
     rows = scan(rows, keys, order, {"_home": ("last", F.col("_opens"))}, bucket_of("mid")).withColumn("island", F.coalesce("_opens", "_home"))
 
     def greedy(key: tuple, island: list[tuple]) -> list[tuple]:
+        """Candidates are met by a sweep over midpoints, so the work is that of pairs closer than the radius, however long the island is."""
         out: list[tuple] = []
         free = {n: r for n, r in enumerate(island) if r[0] == 1}
+        humans = sorted((r[7], n) for n, r in free.items())
+        mids = [m for m, _ in humans]
         for tier in (1, 2):
             open_ = {n: r for n, r in enumerate(island) if r[0] == 0 and r[6] == tier}
+            met = [(abs(m - p[7]), i, j) for i, p in open_.items() for m, j in humans[bisect_left(mids, p[7] - radius) : bisect_right(mids, p[7] + radius)] if j in free and abs(m - p[7]) < radius]
             for same in (True, False):
-                near = sorted((abs(h[7] - p[7]), i, j) for i, p in open_.items() for j, h in free.items() if abs(h[7] - p[7]) < radius and (not same or h[2] == p[2]))
-                for _, i, j in near:
+                for _, i, j in sorted(x for x in met if x[1] in open_ and x[2] in free and (not same or free[x[2]][2] == open_[x[1]][2])):
                     if i in open_ and j in free:
                         out.append((*key[:-1], open_.pop(i)[1], free.pop(j)[1]))
         return out

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import overlay, projection, selectors, signals, spans, stats, transfer, verdicts, writers
+from palimpsest.operators import bulk, overlay, projection, selectors, signals, spans, stats, transfer, verdicts, writers
+from palimpsest.lineage import cut
 from palimpsest.schemas import LEGACY
 from palimpsest.sources import readers
 from palimpsest.sources.store import OverlayStore, load_tables, rows_of
@@ -240,12 +241,12 @@ def transfer_wordless(spark: SparkSession, root: str, source_id: str, from_skele
     if commit:
         store = OverlayStore(spark, root)
         session = store.commit(writers.start_session([source_id], "wordless-transfer", actor)).rows["session"][0]
-        made = [writers.insert_chunk(source_id, r["after_id"], r["start_time"], r["end_time"], session["id"], r["before_id"], r["label"], "", r["rank"], actor) for r in plan.where("status = 'transfer'").orderBy("start_time").collect()]  # one source's inserts
-        if made:
-            both = writers.Batch("chunk-insert", session["id"], actor)
-            for b in made:
-                both.add("correction", *b.rows["correction"]).add("edge", *b.rows["edge"])
-            store.commit(both)
+        now, seq = time.time(), time.time_ns()
+        moved = plan.where("status = 'transfer'").select(F.sha2(F.concat_ws("|", F.lit(session["id"]), "insert_id"), 256).substr(1, 32).alias("id"), "source_id", F.lit(session["id"]).alias("session_id"), F.lit(now).alias("created_at"), F.lit(seq).alias("seq"), "after_id", "before_id", "start_time", "end_time", F.lit("").alias("text"), "label", "rank", F.lit(actor).alias("actor"))
+        made = bulk.chunk_inserts(cut(moved))
+        store.append("edge", made.edges)
+        store.append("correction", made.corrections)
+        store.commit(writers.Batch("chunk-insert", session["id"], actor, args={"created_at": now}))
         store.commit(writers.session_status(session, "completed"))
     return plan
 

@@ -82,7 +82,7 @@ def find_proposal_set(spark: SparkSession, root: str, content_hash: str | None =
     shape = "proposal_id string, label string, start_time double, end_time double, score double, tier int"
     try:
         data = spark.read.schema(shape).option("mode", "FAILFAST").json(file).withColumn("tier", F.coalesce("tier", F.lit(1)))
-        data.foreach(lambda _: None)  # reads every line once, on the executors
+        data.write.format("noop").mode("overwrite").save()  # reads every line once, on the executors
     except PySparkException:
         return None
     return manifest, data.withColumn("source_id", F.lit((manifest["source"] or {}).get("source_id")))
