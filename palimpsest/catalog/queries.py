@@ -423,6 +423,13 @@ def _(v: Views) -> DataFrame:
     return selectors.observed_spines(v.spines)
 
 
+@query("jon_08_source_spines", "SELECT source_id, skeleton_hash, count(*) AS segments FROM fix_spine WHERE source_id % 3 = 1 GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    """The denoised rendition, which one source in three has its segments under."""
+    held = v.spines.withColumn("rendition_id", F.concat_ws("-", F.concat(F.lit("r"), F.col("source_id")), F.col("source_id") % 3))
+    return selectors.source_spines(held, _renditions(v).withColumn("preprocessing", F.coalesce("preprocessing", F.lit("raw"))), "denoised").select("source_id", "skeleton_hash", "segments")
+
+
 # ---- folds
 
 
@@ -731,6 +738,11 @@ def _(v: Views) -> DataFrame:
     return sheet.select("id", F.array_join("flags", ",").alias("flags"), "text", "variant_text")
 
 
+@query("pln_18_worklist_lines", "SELECT f.id, concat('#', f.idx, ' [', concat_ws(', ', f1, f2, f3, f4, CASE WHEN d.id IS NOT NULL THEN 'transcriber-divergence' END), ']', chr(10), '  text:    ', coalesce(t.new_text, f.text), CASE WHEN d.vtext IS NULL THEN '' ELSE concat(chr(10), '  variant: ', d.vtext) END) AS line FROM own_flag f LEFT JOIN own_said t ON t.segment_id = f.id LEFT JOIN own_diverge d ON d.id = f.id WHERE concat_ws(',', f1, f2, f3, f4, d.id) <> ''")
+def _(v: Views) -> DataFrame:
+    return commands.review_sheet(v.segments, v.corrections, v.superseded, _variants(v)).select("id", planners.worklist_line().alias("line"))
+
+
 @query("cmd_04_prune_plan", "SELECT source_id, count(*)::INT AS pruned_count, string_agg(id, ',' ORDER BY idx) AS ids FROM fix_segment WHERE text = '' GROUP BY 1")
 def _(v: Views) -> DataFrame:
     return commands.prune_plan(v.segments).select("source_id", "pruned_count", F.array_join("pruned_segment_ids", ",").alias("ids"))
@@ -828,6 +840,32 @@ def _(v: Views) -> DataFrame:
     return journal.replay(_journal(v))["correction"].select("id", F.col("source_id").cast("long").alias("source_id"), "correction_type", "status", "created_at")
 
 
+def _whole_journal(v: Views) -> DataFrame:
+    """Sessions that begin and change, entities with a new name, gates and edges, each as lines of a change log; every third line twice."""
+    none = F.lit(None).cast("string")
+    line = lambda df, verb, table: df.select(F.lit(verb).alias("verb"), F.lit("human").alias("actor"), none.alias("set"), none.alias("args"), F.to_json(F.struct(F.array(F.struct("*")).alias(table))).alias("wires"), none.alias("id"), none.alias("anchor"), F.col("seq").alias("n"))
+    s = v.view("fix_session").select(F.col("session_id").alias("id"), F.lit("in_progress").alias("status"), "purpose", F.array(F.lit("a")).alias("scope"), F.lit(1.0).alias("started_at"), F.lit(1.0).alias("updated_at"), F.substring("session_id", 2, 9).cast("long").alias("seq"))
+    done = s.where("seq % 2 = 0").withColumns({"status": F.lit("completed"), "updated_at": F.lit(2.0), "seq": F.col("seq") + 1})
+    gates, edges = v.gates.withColumns({"source_id": F.col("source_id").cast("string"), "session_id": none, "actor": none}), _review_edges(v).withColumn("id", F.concat(F.lit("x"), F.col("seq")))
+    rows = line(s, "session-start", "session").unionByName(line(done, "session-status", "session")).unionByName(line(gates, "extraction-gate", "gate")).unionByName(line(edges, "review-markers", "edge"))
+    return rows.unionByName(rows.where("n % 3 = 0")).drop("n")
+
+
+@query("str_02_replay_sessions", "SELECT session_id AS id, CASE WHEN CAST(substring(session_id, 2) AS INT) % 2 = 0 THEN 'completed' ELSE 'in_progress' END AS status, purpose FROM fix_session")
+def _(v: Views) -> DataFrame:
+    return journal.replay(_whole_journal(v))["session"].select("id", "status", "purpose")
+
+
+@query("str_02_replay_gates", "SELECT id, CAST(source_id AS VARCHAR) AS source_id, extraction_status, annotated_through FROM fix_gate")
+def _(v: Views) -> DataFrame:
+    return journal.replay(_whole_journal(v))["gate"].select("id", "source_id", "extraction_status", "annotated_through")
+
+
+@query("str_02_replay_edges", "SELECT concat('x', seq) AS id, session_id AS source_id, segment_id AS target_id, decision FROM fix_review")
+def _(v: Views) -> DataFrame:
+    return journal.replay(_whole_journal(v))["edge"].select("id", "source_id", "target_id", "decision")
+
+
 @query("str_03_anchors", "SELECT 'd' || s.source_id AS id, concat('h', s.source_id % 50) AS content_hash, row_number() OVER (PARTITION BY s.source_id ORDER BY idx) - 1 AS n, idx, start_time, end_time, text FROM fix_segment s")
 def _(v: Views) -> DataFrame:
     src = v.view("fix_source").select(F.col("source_id").alias("id"), "content_hash")

@@ -86,6 +86,17 @@ def choose_spines(spines: DataFrame, selector: str | None = None) -> DataFrame:
     return spines.where(hit).select("source_id", "skeleton_hash")
 
 
+def skeleton_hash_for(segments: DataFrame, selector: str | None = None) -> str | None:
+    """The hash of the one spine of one source that `selector` names; None for one from before splits, or without any."""
+    found = choose_spines(observed_spines(segments), selector).first()
+    return found and found["skeleton_hash"]
+
+
+def source_spines(segments: DataFrame, renditions: DataFrame | None = None, rendition: str | None = None) -> DataFrame:
+    """observed_spines() of the chosen renditions of each source; no rows where nothing is there."""
+    return observed_spines(spine(segments, renditions, rendition))
+
+
 def spine(segments: DataFrame, renditions: DataFrame | None = None, rendition: str | None = None, skeleton: str | None = None, one: bool = False) -> DataFrame:
     """Segments of the chosen renditions and, with `one` or a skeleton, of one spine of each source."""
     rows = segments

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import bulk, overlay, projection, selectors, signals, spans, stats, transfer, verdicts, writers
 from palimpsest.lineage import cut
-from palimpsest.schemas import LEGACY
+from palimpsest.schemas import LEGACY, RUN_EVENTS
 from palimpsest.sources import readers
 from palimpsest.sources.store import OverlayStore, load_tables, rows_of
 
@@ -101,9 +101,37 @@ def proposal_rows(donors: DataFrame) -> DataFrame:
 # ---- commands over a workspace
 
 
+def engine_info(spark: SparkSession) -> dict[str, Any]:
+    """Which engine made a result: for manifests and run events."""
+    return {"spark": spark.version, "application_id": spark.sparkContext.applicationId, "master": spark.sparkContext.master, "timezone": spark.conf.get("spark.sql.session.timeZone")}
+
+
+def journal_run_event(store: OverlayStore, event_type: str, run_id: str, actor: str, payload: dict[str, Any]) -> None:
+    """One event of a run. Events of a run share its id, which its manifest has, too."""
+    if event_type not in RUN_EVENTS:
+        raise ValueError(f"{event_type!r} is not among {RUN_EVENTS}")
+    row = {"id": f"{run_id}:{event_type}", "event_type": event_type, "run_id": run_id, "actor": actor, "payload": json.dumps(payload, ensure_ascii=False), "at": time.time(), "seq": time.time_ns()}
+    store.append("run_event", rows_of(store.spark, "run_event", [row]))
+
+
 def run(spark: SparkSession, root: str, source: str | None = None, prune: bool = False, actor: str = "human", purpose: str | None = None, manifest_to: str | None = None) -> DataFrame:
-    """A correction run: a session over the chosen sources, a prune of empty segments if wanted, and the summary of each source."""
-    store = OverlayStore(spark, root)
+    """A correction run: a session over the chosen sources, a prune of empty segments if wanted, and the summary of each source. Run events say when it began, and how it ended."""
+    store, run_id = OverlayStore(spark, root), readers.new_id("correct")
+    config = {"source": source, "prune": prune, "actor": actor}
+    journal_run_event(store, "run_started", run_id, actor, config)
+    try:
+        summary, session, sources = _run(spark, root, store, source, prune, actor, purpose)
+    except BaseException as e:
+        journal_run_event(store, "run_finished", run_id, actor, {"status": "failed", "error": str(e)[:500]})
+        raise
+    journal_run_event(store, "run_finished", run_id, actor, {"status": "completed", "session_id": session["id"]})
+    if manifest_to is not None:
+        record = {"format": readers.RUN_FORMAT, "version": "0.2.0", "run_id": run_id, "created_at": time.time(), "config": config, "session_id": session["id"], **engine_info(spark), "signals_used": [signals.EMPTY, signals.UNTIMED, signals.NO_TERMINAL, signals.NOT_UPPER, signals.DIVERGES], "sources": sources}
+        readers.save_manifest(spark, manifest_to, record, root)
+    return summary
+
+
+def _run(spark: SparkSession, root: str, store: OverlayStore, source: str | None, prune: bool, actor: str, purpose: str | None) -> tuple[DataFrame, dict[str, Any], int]:
     tables = load_tables(spark, root)
     chosen = selectors.match_sources(tables["source"], source).select(F.col("id").alias("source_id"))
     segments = tables["segment"].join(chosen, "source_id", "left_semi")
@@ -118,10 +146,7 @@ def run(spark: SparkSession, root: str, source: str | None = None, prune: bool =
     flagged = signals.signal_flags(segments, readers.variant_texts(segments, tables["transcript"]))
     summary = stats.run_summary(segments, flagged, projection.effective_spine(segments, own, dead), removed)
     store.commit(writers.session_status(session, "completed"))
-    if manifest_to is not None:
-        record = {"format": readers.RUN_FORMAT, "version": "0.2.0", "run_id": readers.new_id("correct"), "created_at": time.time(), "config": {"source": source, "prune": prune, "actor": actor}, "session_id": session["id"], "spark": spark.version, "signals_used": [signals.EMPTY, signals.UNTIMED, signals.NO_TERMINAL, signals.NOT_UPPER, signals.DIVERGES], "sources": len(scope)}
-        readers.save_manifest(spark, manifest_to, record, root)
-    return summary
+    return summary, session, len(scope)
 
 
 def commit_prunes(spark: SparkSession, store: OverlayStore, segments: DataFrame, session_id: str, actor: str) -> None:

@@ -56,10 +56,12 @@ TABLES = {
     "fa_cache": "text_hash string, items string, created_at double",
     "turn": "source_id string, turn_start double, turn_end double, speaker string",
     "proposal": "source_id string, proposal_id string, label string, start_time double, end_time double, score double, tier int",
+    "run_event": "id string, event_type string, run_id string, actor string, payload string, at double, seq long",
     "journal": "verb string, actor string, `set` string, args string, wires string, id string, anchor string",
 }
 
 # fixed values
+RUN_EVENTS = ("run_started", "run_finished")
 RELATIONS = ("CORRECTS", "SUPERSEDES", "DERIVED_FROM", "ASSIGNS", "REVIEWED", "GATES")
 STATUSES = ("proposed", "applied", "superseded")
 SESSION_STATUSES = ("in_progress", "completed", "reopened")

@@ -55,9 +55,10 @@ class OverlayStore:
         return load_table(self.spark, self.root, name)
 
     def append(self, name: str, rows: DataFrame, key: list[str] | None = None) -> None:
-        """Rows with a new key. Sessions and entities are change rows: their key is id and seq."""
-        key = key or (["id", "seq"] if name in ("session", "entity") else ["id"])
-        path, names = f"{self.root}/{name}", schema(name).fieldNames()
+        """Rows with a new key. Sessions and entities are change rows: their key is id and seq; tables without ids are told apart by all their columns."""
+        fields = schema(name).fieldNames()
+        key = key or (["id", "seq"] if name in ("session", "entity") else ["id"] if "id" in fields else fields)
+        path, names = f"{self.root}/{name}", fields
         if "seq" not in names:
             fresh_rows(rows.select(*names), self.table(name), key).write.mode("append").parquet(path)
             return
