@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.lineage import cut as saved
 from palimpsest.lineage import on_path, remove, scratch, shared_folder
 
-__all__ = ["LOWER", "UPPER", "batches", "dealt_join", "folded_words", "lower_ascii", "on_path", "quoted", "remove", "saved", "scratch", "shared_folder", "small_batches", "table", "whole", "words"]
+__all__ = ["LOWER", "UPPER", "batches", "dealt_join", "folded_words", "lower_ascii", "on_path", "quoted", "remove", "saved", "scratch", "shared_folder", "small_batches", "small_side", "table", "whole", "words"]
 MOST_BROADCAST = 50_000
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -79,18 +79,21 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def small_side(written: DataFrame) -> DataFrame:
+    """A written table for a join: to broadcast up to MOST_BROADCAST rows of a few numbers, which are a few MB, and to shuffle beyond."""
+    return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
+
+
 def dealt_join(left: DataFrame, right: DataFrame, owner: list[str], by: list[str], most: int, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on `owner`, of which `right` has one row each. An owner with more than `most` rows of `left` is dealt in parts by `by`, with a copy of its row for each part.
 
-    `counted` has the same owners as often as `left` and is cheaper to read. The counts of such owners are broadcast up to MOST_BROADCAST of them, which are a few MB, and joined by a shuffle beyond.
+    `counted` has the same owners as often as `left` and is cheaper to read.
     """
     n, part = "n of parts", "part of them"
     often = saved((counted or left).groupBy(*owner).agg(F.ceil(F.count("*") / most).cast("int").alias(n)).where(F.col(n) > 1))
-    found = often.count()
-    if not found:
+    if often.isEmpty():
         return left.join(right, owner)
-    if found <= MOST_BROADCAST:
-        often = F.broadcast(often)
+    often = small_side(often)
     parts = F.coalesce(F.col(n), F.lit(1))
     dealt = left.join(often, owner, "left").withColumn(part, F.pmod(F.xxhash64(*by), parts).cast("int")).drop(n)
     copies = right.join(often, owner, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
