@@ -2,7 +2,7 @@
 
 Similarity is that of weighted 5-word shingles, the sum of the lesser over the sum of the greater counts, and 0.8 or more is a
 leak. Every window as long as an item is considered. One of m shingles can only reach 0.8 with an item of n if at least 0.8 / 1.8 of m + n of
-its shingles stand in the benchmark at all; running sums tell that, and windows below it are done with, without a loss. The others are
+its shingles stand in items of that length at all; running sums tell that, and windows below it are done with, without a loss. The others are
 fingerprinted and looked up among the items of their length in an index of BLOCKS blocks of 16 bits. Two fingerprints within
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 = 19 bits agree up to BLOCK_RADIUS = 4 bits in some block, so the index finds every item within
 the radius, and one random pair in seven. What is found within the radius is verified. At similarity 0.8 about 10 bits differ, with a deviation
@@ -67,6 +67,21 @@ class HammingIndex:
             at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == near)]
         return self.order[b][np.repeat(ends[at] - np.concatenate([[0], np.cumsum(ends[at + 1] - ends[at])[:-1]]), ends[at + 1] - ends[at]) + np.arange((ends[at + 1] - ends[at]).sum())] if len(at) else np.zeros(0, np.int32)
 
+    def all_within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For many fingerprints: which of them, the items within RADIUS and their distances."""
+        if len(self.prints) > len(BALL):
+            found = [self.within(x) for x in prints.tolist()]
+            at = np.repeat(np.arange(len(prints)), [len(k) for k, _ in found])
+            return at, np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found])
+        near = np.zeros((len(prints), len(self.prints)), bool)
+        for b, (own, listed) in enumerate(zip(prints.view(np.uint16).reshape(-1, BLOCKS).T, self.values, strict=True)):
+            close = np.bitwise_count(own[:, None] ^ listed[None, :]) <= BLOCK_RADIUS
+            near[:, self.order[b]] |= np.repeat(close, np.diff(self.ends[b]), axis=1)
+        at, k = np.nonzero(near)
+        distance = np.bitwise_count(prints[at] ^ self.prints[k])
+        keep = distance <= RADIUS
+        return at[keep], k[keep], distance[keep]
+
     def candidates(self, fingerprint: int) -> np.ndarray:
         """Items that some block has near; all within RADIUS are among them."""
         blocks = np.array([fingerprint], np.uint64).view(np.uint16)
@@ -93,7 +108,7 @@ class Items:
         of: dict[int, list[int]] = {}
         for k, h in enumerate(self.hashes):
             of.setdefault(len(h), []).append(k)
-        self.of_length = {n: (np.array(ks), HammingIndex(np.array([majority(self.hashes[k]) for k in ks], np.uint64))) for n, ks in sorted(of.items())}
+        self.of_length = {n: (np.array(ks), np.unique(np.concatenate([self.hashes[k] for k in ks])), HammingIndex(np.array([majority(self.hashes[k]) for k in ks], np.uint64))) for n, ks in sorted(of.items())}
 
     def stand_in(self, hashes: np.ndarray) -> np.ndarray:
         """Which shingles of a document some item has."""
@@ -109,27 +124,32 @@ class Items:
         total = len(hashes)
         if not total:
             return []
-        listed = self.stand_in(hashes)
-        if not listed.any():
-            return []
-        before = np.concatenate([[0], np.cumsum(listed)])
+        hits = np.flatnonzero(self.stand_in(hashes))
         best: dict[int, tuple] = {}
-        for n, (ks, index) in self.of_length.items():
+        for n, (ks, known, index) in self.of_length.items():
             m = min(n, total)
             need = math.ceil(SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-9)
-            if need > min(m, before[-1]):
+            if need > min(m, len(hits)):
+                continue
+            place = np.minimum(np.searchsorted(known, hashes[hits]), len(known) - 1)
+            own = hits[known[place] == hashes[hits]]
+            if need > len(own):
                 continue
+            before = np.zeros(total + 1, np.int64)
+            before[own + 1] = 1
+            before = np.cumsum(before)
             starts = np.flatnonzero(before[m:] - before[: total - m + 1] >= need)
-            for at in range(0, len(starts), CELLS // 64):
-                own = starts[at : at + CELLS // 64]
-                for s, fingerprint in zip(own.tolist(), window_prints(hashes, own, m).tolist(), strict=True):
-                    counts = None
-                    for k, d in zip(*(x.tolist() for x in index.within(fingerprint)), strict=True):
-                        counts = counts or Counter(hashes[s : s + m].tolist())
-                        k = int(ks[k])
-                        similarity = weighted(counts, Counter(self.hashes[k].tolist()))
-                        if similarity >= SIMILARITY:
-                            best[k] = min(best.get(k, (0.0, 0, 0)), (-similarity, s, d))
+            width = max(1, CELLS // min(len(ks), len(BALL)))
+            for at in range(0, len(starts), width):
+                own = starts[at : at + width]
+                w, k, distance = index.all_within(window_prints(hashes, own, m))
+                last, counts = -1, Counter()
+                for s, k1, d in zip(own[w].tolist(), ks[k].tolist(), distance.tolist(), strict=True):
+                    if s != last:
+                        last, counts = s, Counter(hashes[s : s + m].tolist())
+                    similarity = weighted(counts, Counter(self.hashes[k1].tolist()))
+                    if similarity >= SIMILARITY:
+                        best[k1] = min(best.get(k1, (0.0, 0, 0)), (-similarity, s, d))
         return [{"item_id": self.ids[k], "start_word": s, "n_words": self.words[k], "distance": d, "similarity": -x} for k, (x, s, d) in sorted(best.items(), key=lambda y: self.ids[y[0]])]
 
 

@@ -89,6 +89,9 @@ def test_the_index_finds_all_within_the_radius_and_few_others():
             assert found.tolist() == np.flatnonzero(distance <= D.RADIUS).tolist() and n in found and (d == distance[found]).all()
             passed += len(index.candidates(query))
         assert passed / 20 / count <= 0.15
+        many = prints[:7] ^ np.uint64(3)
+        got = sorted(zip(*(x.tolist() for x in index.all_within(many)), strict=True))
+        assert got == sorted((n, k, int(d)) for n, q in enumerate(many) for k, d in enumerate(np.bitwise_count(prints ^ q).tolist()) if d <= D.RADIUS)
     assert D.RADIUS == 19 and len(D.BALL) == 2517
 
 
