@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import batches, table
 
 MARK = "▁"
-MEMO_BYTES, MEMO_CHARS = 64_000_000, 256
+CODED_BYTES, READ_BYTES, MEMO_CHARS = 72_000_000, 48_000_000, 256
 CHECKED = 64
 SCHEMA = "n_tokens long, ids string, decoded string"
 
@@ -136,11 +136,11 @@ def _each_bad_byte(data: bytes) -> str:
 
 
 class _Memo(dict):
-    """What has been made of texts of up to MEMO_CHARS characters. A full memo becomes the old one, and what is still in use comes back from it: frequent texts stay, and two memos of MEMO_BYTES are all there is."""
+    """What has been made of texts of up to MEMO_CHARS characters. A full memo becomes the old one, and what is still in use comes back from it: frequent texts stay, and two memos of `most` bytes are all there is."""
 
-    def __init__(self, make: Callable[[str], str]) -> None:
+    def __init__(self, make: Callable[[str], str], most: int) -> None:
         super().__init__()
-        self.make, self.old, self.weight = make, {}, 0
+        self.make, self.most, self.old, self.weight = make, most, {}, 0
 
     def __missing__(self, text: str) -> str:
         made = self.old.get(text)
@@ -148,7 +148,7 @@ class _Memo(dict):
             made = self.make(text)
         if len(text) <= MEMO_CHARS:
             weight = 250 + len(text) + len(made)  # two strings and a place in the table
-            if self.weight + weight > MEMO_BYTES:
+            if self.weight + weight > self.most:
                 self.old, self.weight = dict(self), 0
                 self.clear()
             self.weight += weight
@@ -161,13 +161,21 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.model = MergeModel(path)
-        self.coded = _Memo(lambda unit: "".join([f"{i} " for i in self.model.encode_unit(unit)]))
-        self.read = _Memo(lambda ids: self.model.decode_raw([int(i) for i in ids.split()]))
+        self.coded = _Memo(lambda unit: "".join([f"{i} " for i in self.model.encode_unit(unit)]), CODED_BYTES)
+        self.read = _Memo(self._read, READ_BYTES)
+        self.plain = {str(i): p.replace(MARK, " ") for i, p in enumerate(self.model.pieces) if self.model.kinds[i] == self.model.normal}
+
+    def _read(self, ids: str) -> str:
+        own = ids.split()
+        try:
+            return "".join([self.plain[i] for i in own])
+        except KeyError:  # pieces that are single bytes
+            return self.model.decode_raw([int(i) for i in own])
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
-        coded = [self.coded[u] for u in self.model.split(text or "")]
+        coded = [*map(self.coded.__getitem__, self.model.split(text or ""))]
         ids = "".join(coded) + str(self.model.end)
-        return ids.count(" ") + 1, ids, "".join([self.read[c] for c in coded]).removeprefix(" ")
+        return ids.count(" ") + 1, ids, "".join(map(self.read.__getitem__, coded)).removeprefix(" ")
 
     def check(self, text: str, ids: str, decoded: str) -> None:
         own = [int(i) for i in ids.split()]

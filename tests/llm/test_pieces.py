@@ -26,7 +26,8 @@ def test_odd_texts(text):
 
 
 def test_full_memos_give_the_same_and_stay_small(monkeypatch):
-    monkeypatch.setattr(P, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(P, "CODED_BYTES", 3000)
+    monkeypatch.setattr(P, "READ_BYTES", 3000)
     encoder = P.Encoder(P.public_model())
     for n in range(60):
         text = f"some word{n % 7} and others{n} " + "x" * (n * 20) + " 漢字"
