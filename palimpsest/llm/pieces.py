@@ -2,9 +2,8 @@
 
 A text is spaces turned to U+2581 behind one more U+2581. No piece of the vocabulary joins another character to a following
 U+2581 (checked when the model is loaded), so no merge crosses that border: each unit - marks and what follows up to the next mark - is
-encoded by itself, and a worker remembers the ids of units it has met. Decoding starts from ids: those of each unit are decoded by themselves (a unit has whole
-characters, so its byte pieces do, too), and what ids say is remembered in a memo of its own. Both memos are bounded in bytes, and long units
-are kept in neither. Of every Arrow batch the first text with anything in it and some of all others, chosen by a hash and of any length, are
+encoded by itself, and a worker remembers the ids of units it has met, in a memo that is bounded in bytes and keeps no long units. Decoding starts
+from the ids of the whole text. Of every Arrow batch the first text with anything in it and some of all others, chosen by a hash and of any length, are
 also encoded and decoded by the sentencepiece library; a difference raises an error.
 """
 
@@ -14,6 +13,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import batches, table
 
 MARK = "▁"
-CODED_BYTES, READ_BYTES, MEMO_CHARS = 72_000_000, 48_000_000, 256
+MEMO_BYTES, MEMO_CHARS = 80_000_000, 256
+SHORT = 24
 CHECKED = 64
 SCHEMA = "n_tokens long, ids string, decoded string"
 
@@ -68,6 +69,8 @@ class MergeModel:
 
     def encode_unit(self, unit: str) -> list[int]:
         """The best-scored pair of neighbours merges first, the leftmost of several; pairs that have changed meanwhile are stale."""
+        if len(unit) <= SHORT:
+            return self._told(self._merge_short(list(unit)))
         symbols: list[str] = list(unit)
         n, scores = len(symbols), self.scores
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -86,6 +89,23 @@ class MergeModel:
                     heapq.heappush(agenda, (-s, left, following, size + len(symbols[following])))
             if (previous := before[left]) >= 0 and (s := scores.get(symbols[previous] + symbols[left])) is not None:
                 heapq.heappush(agenda, (-s, previous, left, size + len(symbols[previous])))
+        return self._told(symbols)
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """As the agenda of encode_unit does; so few pairs that their scores are a list in the order of the text."""
+        of, none = self.scores.get, float("-inf")
+        scores = [of(a + b, none) for a, b in pairwise(symbols)]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del scores[i]
+            if i:
+                scores[i - 1] = of(symbols[i - 1] + symbols[i], none)
+            if i < len(scores):
+                scores[i] = of(symbols[i] + symbols[i + 1], none)
+        return symbols
+
+    def _told(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for symbol in filter(None, symbols):
             if (found := self.ids.get(symbol)) is not None:
@@ -136,11 +156,11 @@ def _each_bad_byte(data: bytes) -> str:
 
 
 class _Memo(dict):
-    """What has been made of texts of up to MEMO_CHARS characters. A full memo becomes the old one, and what is still in use comes back from it: frequent texts stay, and two memos of `most` bytes are all there is."""
+    """What has been made of texts of up to MEMO_CHARS characters. A full memo becomes the old one, and what is still in use comes back from it: frequent texts stay, and two memos of MEMO_BYTES are all there is."""
 
-    def __init__(self, make: Callable[[str], str], most: int) -> None:
+    def __init__(self, make: Callable[[str], str]) -> None:
         super().__init__()
-        self.make, self.most, self.old, self.weight = make, most, {}, 0
+        self.make, self.old, self.weight = make, {}, 0
 
     def __missing__(self, text: str) -> str:
         made = self.old.get(text)
@@ -148,7 +168,7 @@ class _Memo(dict):
             made = self.make(text)
         if len(text) <= MEMO_CHARS:
             weight = 250 + len(text) + len(made)  # two strings and a place in the table
-            if self.weight + weight > self.most:
+            if self.weight + weight > MEMO_BYTES:
                 self.old, self.weight = dict(self), 0
                 self.clear()
             self.weight += weight
@@ -161,21 +181,31 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.model = MergeModel(path)
-        self.coded = _Memo(lambda unit: "".join([f"{i} " for i in self.model.encode_unit(unit)]), CODED_BYTES)
-        self.read = _Memo(self._read, READ_BYTES)
-        self.plain = {str(i): p.replace(MARK, " ") for i, p in enumerate(self.model.pieces) if self.model.kinds[i] == self.model.normal}
-
-    def _read(self, ids: str) -> str:
-        own = ids.split()
-        try:
-            return "".join([self.plain[i] for i in own])
-        except KeyError:  # pieces that are single bytes
-            return self.model.decode_raw([int(i) for i in own])
+        self.coded = _Memo(lambda unit: "".join([f"{i} " for i in self.model.encode_unit(unit)]))
+        model = self.model
+        #: What a piece says by itself; byte pieces of other characters than ASCII are missing.
+        self.plain = {str(i): "" if i == model.end else p.replace(MARK, " ") for i, p in enumerate(model.pieces) if model.kinds[i] == model.normal or i == model.end}
+        self.plain |= {str(i): chr(b) for b, i in model.bytes.items() if b < 0x80}
+        self.high = {str(i): b for b, i in model.bytes.items() if b >= 0x80}
+
+    def decode(self, ids: list[str]) -> str:
+        """As MergeModel.decode, for ids in decimal: only runs of bytes of one character are looked at one by one."""
+        said = [*map(self.plain.get, ids), None]  # a last one ends the search
+        at = said.index(None)
+        while at < len(ids):
+            end, run = at, bytearray()
+            while end < len(ids) and said[end] is None:
+                run.append(self.high[ids[end]])
+                end += 1
+            said[at:end] = [_each_bad_byte(bytes(run)), *[""] * (end - at - 1)]
+            at = said.index(None, end)
+        del said[-1]
+        return "".join(said).removeprefix(" ")
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
-        coded = [*map(self.coded.__getitem__, self.model.split(text or ""))]
-        ids = "".join(coded) + str(self.model.end)
-        return ids.count(" ") + 1, ids, "".join(map(self.read.__getitem__, coded)).removeprefix(" ")
+        ids = "".join(map(self.coded.__getitem__, self.model.split(text or ""))) + str(self.model.end)
+        own = ids.split()
+        return len(own), ids, self.decode(own)
 
     def check(self, text: str, ids: str, decoded: str) -> None:
         own = [int(i) for i in ids.split()]

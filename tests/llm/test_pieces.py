@@ -26,14 +26,30 @@ def test_odd_texts(text):
 
 
 def test_full_memos_give_the_same_and_stay_small(monkeypatch):
-    monkeypatch.setattr(P, "CODED_BYTES", 3000)
-    monkeypatch.setattr(P, "READ_BYTES", 3000)
+    monkeypatch.setattr(P, "MEMO_BYTES", 3000)
     encoder = P.Encoder(P.public_model())
     for n in range(60):
         text = f"some word{n % 7} and others{n} " + "x" * (n * 20) + " 漢字"
         encoder.check(text, *encoder(text)[1:])
-        for memo in (encoder.coded, encoder.read):
-            assert sum(250 + len(k) + len(v) for m in (memo, memo.old) for k, v in m.items()) <= 6000 and max(map(len, memo), default=0) <= P.MEMO_CHARS
+        memo = encoder.coded
+        assert sum(250 + len(k) + len(v) for m in (memo, memo.old) for k, v in m.items()) <= 6000 and max(map(len, memo), default=0) <= P.MEMO_CHARS
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text(alphabet="abcdehilmnorstuy ▁", max_size=24))
+def test_short_units_merge_as_long_ones_do(text):
+    model = MODEL.model
+    want = model.library.encode(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "SHORT", 0)
+        assert model.encode(text) == want
+    assert model.encode(text) == want
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.sampled_from([3, 13, 200, 258, 130, 140, 190, 227, 500, 29871, 29892, 31000]), max_size=20))
+def test_any_ids_decode_as_the_library_does(ids):
+    assert MODEL.decode([*map(str, ids), "2"]) == MODEL.model.library.decode([*ids, 2])
 
 
 def test_decoding_starts_from_ids():
