@@ -673,20 +673,38 @@ def _(v: Views) -> DataFrame:
     return words.select("word", T.normal_token(F.col("word")).alias("token"))
 
 
+#: Words by place, and for each segment of three or more what a span over all of them has to know; `kind` says which words are aligned.
+OWN_VIEWS["own_token"] = f"""
+SELECT id, w, a, a + length(w) AS b, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k FROM (SELECT id, w, i, sum(length(w) + 1) OVER (PARTITION BY id ORDER BY i) - length(w) - 1 AS a FROM (
+SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT id, string_split_regex(text, '[{WS}]') AS p FROM fix_segment WHERE end_time > start_time))) WHERE w <> ''"""
+OWN_VIEWS["own_snap"] = """
+SELECT s.id, s.start_time, s.end_time, length(s.text) AS len, t.*, CASE WHEN idx % 3 = 1 THEN 'none' WHEN idx % 3 = 2 AND forms = n THEN 'part' ELSE 'all' END AS kind FROM fix_segment s JOIN (
+SELECT id AS of, count(*) AS n, count(DISTINCT nullif(regexp_replace(lower(w), '[^\\p{L}\\p{N}]', '', 'g'), '')) AS forms, count(*) FILTER (k % 3 <> 2) AS met, arg_min(a, k) AS a0, arg_max(b, k) AS bl, arg_max(b, k) FILTER (k % 3 <> 2) AS bm, max(a) FILTER (k = 1) AS a1, max(w) FILTER (k = 1) AS w1
+FROM own_token GROUP BY 1 HAVING count(*) >= 3) t ON t.of = s.id"""
+_AT = "start_time + (end_time - start_time) * {0} / len"
+
+
 def _snap_input(v: Views) -> DataFrame:
-    """Segments of three words or more with one aligned word for all but every third of their words."""
+    """Segments of three words or more. One in three has none of them aligned; one in three has all but every third, if no two of its words are the same; the others have all."""
     rows = v.segments.where("end_time > start_time").withColumn("w", T.word_spans(F.col("text"))).where(F.size("w") >= 3)
     at = lambda c: F.col("start_time") + (F.col("end_time") - F.col("start_time")) * c / F.length("text")
-    aligned = F.transform(F.filter("w", lambda x, i: i % 3 != 2), lambda x: F.struct(at(x["char_start"]).alias("s"), at(x["char_end"]).alias("e"), x["word"].alias("text")))
+    timed = lambda words: F.transform(words, lambda x: F.struct(at(x["char_start"]).alias("s"), at(x["char_end"]).alias("e"), x["word"].alias("text")))
+    forms = F.filter(F.transform("w", lambda x: T.normal_token(x["word"])), lambda x: x != "")
+    differ = F.size(F.array_distinct(forms)) == F.size("w")
+    aligned = F.when(F.col("idx") % 3 == 1, F.slice(timed(F.col("w")), 1, 0)).when((F.col("idx") % 3 == 2) & differ, timed(F.filter("w", lambda x, i: i % 3 != 2))).otherwise(timed(F.col("w")))
     return rows.select("id", "text", "start_time", "end_time", F.lit(0).alias("first_word"), (F.size("w") - 1).alias("last_word"), aligned.alias("aligned"), F.col("w")[0]["char_end"].alias("char_end"), F.lit(0).alias("char_start"))
 
 
-@query("pln_10_snap_words")
+@query(
+    "pln_10_snap_words",
+    f"""SELECT id, low AS start_s, CASE snap WHEN 'fa-word' THEN {_AT.format("bl")} WHEN 'estimated' THEN greatest(start_time + (end_time - start_time) / len * bl, low + 0.01e0) ELSE greatest(least(end_time, h + (h - low) / greatest(1, bm - a0) * (bl - bm)), low + 0.01e0) END AS end_s, snap, CAST(CASE kind WHEN 'all' THEN n WHEN 'none' THEN 0 ELSE met END AS INT) AS words
+FROM (SELECT *, CASE kind WHEN 'none' THEN start_time + (end_time - start_time) / len * a0 ELSE {_AT.format("a0")} END AS low, {_AT.format("bm")} AS h, CASE WHEN kind = 'none' THEN 'estimated' WHEN kind = 'all' OR bm = bl THEN 'fa-word' ELSE 'fa-partial' END AS snap FROM own_snap)""",
+)
 def _(v: Views) -> DataFrame:
     return FW.snap_words(_snap_input(v)).select("id", "start_s", "end_s", "snap", F.size("words").alias("words"))
 
 
-@query("pln_11_facing_bounds")
+@query("pln_11_facing_bounds", f"SELECT id, CASE WHEN kind <> 'none' THEN w1 END AS neighbour_word, CASE WHEN kind <> 'none' THEN {_AT.format('a1')} END AS neighbour_time FROM own_snap")
 def _(v: Views) -> DataFrame:
     return FW.facing_bounds(_snap_input(v), "next").select("id", "neighbour_word", "neighbour_time")
 
@@ -808,7 +826,23 @@ def _(v: Views) -> DataFrame:
     return found.select("source_id", "prev_idx", "next_idx", "words", "text", "start_s")
 
 
-@query("cmd_14_scan_mechanisms")
+OWN_VIEWS["own_homeless"] = """
+SELECT *, sum(CASE WHEN prev_idx IS NOT DISTINCT FROM lag_p AND next_idx IS NOT DISTINCT FROM lag_n THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY s, e, text ROWS UNBOUNDED PRECEDING)::BIGINT AS instance FROM (
+SELECT *, lag(prev_idx) OVER w AS lag_p, lag(next_idx) OVER w AS lag_n FROM (
+SELECT w.*, coalesce(p.idx, -1) AS prev_idx, coalesce(n.idx, -1) AS next_idx, coalesce(p.at, 0e0) AS gap_start, n.at AS gap_end FROM (
+  SELECT x.*, (SELECT arg_max({'idx': idx, 'at': end_time}, (end_time, -start_time, -idx)) FROM fix_segment c WHERE c.source_id = x.source_id AND c.end_time <= x.s + 0.02) AS p, (SELECT arg_min({'idx': idx, 'at': start_time}, (start_time, idx)) FROM fix_segment c WHERE c.source_id = x.source_id AND c.start_time >= x.e - 0.02) AS n
+  FROM fix_gap_word x WHERE x.e > x.s AND coalesce((SELECT max(least(x.e, c.end_time) - greatest(x.s, c.start_time)) FROM fix_segment c WHERE c.source_id = x.source_id AND c.end_time > c.start_time AND c.start_time < x.e AND c.end_time > x.s), 0) < 0.01) w)
+WINDOW w AS (PARTITION BY source_id ORDER BY s, e, text))"""
+OWN_VIEWS["own_instance"] = "SELECT source_id, instance, prev_idx, next_idx, count(*) AS words, string_agg(text, ' ' ORDER BY s, e, text) AS text, min(s) AS start_s, arg_max(e, (s, e)) AS end_s, any_value(gap_start) AS gap_start, any_value(gap_end) AS gap_end FROM own_homeless GROUP BY ALL"
+
+
+@query(
+    "cmd_14_scan_mechanisms",
+    f"""SELECT i.source_id, i.instance, prev_idx, next_idx, words, text, start_s, end_s, CASE WHEN gap_end IS NULL OR coalesce(bare, 0) >= {transfer.UNCOVERED} THEN 'vad-gap' ELSE 'carve-sliver' END AS mechanism FROM own_instance i LEFT JOIN (
+SELECT source_id, instance, max(free) AS bare FROM (WITH met AS (SELECT i.source_id, i.instance, gap_end - gap_start AS w, greatest(0, p.start_time - gap_start) AS s, least(gap_end, p.end_time) - gap_start AS e FROM own_instance i JOIN fix_proposal p ON p.source_id = i.source_id AND p.end_time > p.start_time AND p.start_time < gap_end AND p.end_time > gap_start WHERE gap_end > gap_start)
+  SELECT source_id, instance, s - coalesce(max(e) OVER (PARTITION BY source_id, instance ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM met
+  UNION ALL SELECT source_id, instance, gap_end - gap_start - coalesce((SELECT max(e) FROM met m WHERE m.source_id = i.source_id AND m.instance = i.instance), 0) FROM own_instance i WHERE gap_end > gap_start) GROUP BY 1, 2) b ON b.source_id = i.source_id AND b.instance = i.instance""",
+)
 def _(v: Views) -> DataFrame:
     return transfer.scan_mishomed(v.view("fix_gap_word"), v.segments, v.view("fix_proposal"), 0.01)
 
