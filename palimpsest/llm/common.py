@@ -84,13 +84,17 @@ def small_side(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
 
 
-def dealt_join(left: DataFrame, right: DataFrame, owner: list[str], by: list[str], most: int, counted: DataFrame | None = None) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, owner: list[str], by: list[str], most: int, counted: DataFrame | None = None, rows: str | None = None) -> DataFrame:
     """Inner join on `owner`, of which `right` has one row each. An owner with more than `most` rows of `left` is dealt in parts by `by`, with a copy of its row for each part.
 
-    `counted` has the same owners as often as `left` and is cheaper to read.
+    `counted` has the same owners as often as `left` and is cheaper to read; `rows` names a column of `right` that has the counts already.
     """
     n, part = "n of parts", "part of them"
-    often = saved((counted or left).groupBy(*owner).agg(F.ceil(F.count("*") / most).cast("int").alias(n)).where(F.col(n) > 1))
+    if rows is None:
+        told = (counted or left).groupBy(*owner).agg(F.count("*").alias(n))
+    else:
+        told = right.select(*owner, F.col(rows).alias(n))
+    often = saved(told.select(*owner, F.ceil(F.col(n) / most).cast("int").alias(n)).where(F.col(n) > 1))
     if often.isEmpty():
         return left.join(right, owner)
     often = small_side(often)

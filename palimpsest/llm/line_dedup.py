@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import dealt_join, quoted, saved, table, whole
 
 RUN, WINDOW, SOLO_CHARS = 2, 3, 64
-DEALT, ROWS = 256, 512
+DEALT, DEALT_KEY, ROWS = 256, 20_000, 512
 SPACES = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 
@@ -120,8 +120,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     measured = saved(docs.select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(measure, "id long, hash long, lines binary, keys array<long>, at array<int>"))
     spots = measured.select("id", "hash", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("id", "hash", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
-    first = spots.groupBy("key").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id2"), F.col("first.hash").alias("hash2"), F.col("first.at").alias("at2"))
-    later = spots.join(first, "key").where("id <> id2 OR hash <> hash2 OR at <> at2")
+    first = saved(spots.groupBy("key").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id2"), F.col("first.hash").alias("hash2"), F.col("first.at").alias("at2"), "n"))
+    later = dealt_join(spots, first, ["key"], ["id", "hash"], DEALT_KEY, rows="n").where("id <> id2 OR hash <> hash2 OR at <> at2")
     pairs = saved(later.groupBy("id", "hash", "id2", "hash2").agg(F.collect_list(F.struct("at", "at2")).alias("pairs")))  # as many as a document has fingerprints at most
     lines = measured.select("id", "hash", "lines").dropDuplicates(["id", "hash"])
     copies = lines.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), F.col("lines").alias("lines2"))

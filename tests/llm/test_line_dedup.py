@@ -71,6 +71,7 @@ def test_repeated_runs_equal_brute_force(spark):
 
 def test_a_common_owner_dealt_in_parts_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(L, "DEALT", 2)
+    monkeypatch.setattr(L, "DEALT_KEY", 3)
     line = "a line that is long enough to be a run by itself, with more than sixty-four characters in it"
     check(spark, [(i, f"start {i}\n{line}\nend {i}") for i in range(20)])
 
