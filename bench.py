@@ -27,13 +27,14 @@ def main() -> None:
     began = time.time()
     for name in VIEWS:  # the tables that queries start from; a workspace has them as Parquet
         views.view(name)
+    views.effective.count()  # and the spine that most commands stand on
     prepared = round(time.time() - began, 2)
     took = {}
     for name in sys.argv[1:] or HEADLINE:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(took.values()), 2), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "prepare_views_sec": prepared}))
+    print(json.dumps({"metric": "total seconds of headline queries and of the tables they start from", "value": round(sum(took.values()) + prepared, 2), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "prepare_views_sec": prepared}))
     spark.stop()
 
 

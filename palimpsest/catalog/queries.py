@@ -531,7 +531,7 @@ def _(v: Views) -> DataFrame:
 
 @query("prj_01_effective_spine", "SELECT source_id, pos, id, idx, text, start_time, end_time, inserted AS is_inserted, label, rank FROM own_eff")
 def _(v: Views) -> DataFrame:
-    return v.effective
+    return v.projected()
 
 
 @query("prj_01_with_shifts", "SELECT source_id, pos, id, idx, text, start_time, end_time, inserted AS is_inserted, label, rank FROM own_seff")

@@ -242,6 +242,13 @@ class Views:
 
     @property
     def effective(self) -> DataFrame:
+        """The effective spine, written once: what stands on it in one run of a workspace shares it."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "effective")
+        if key not in _TABLES:
+            _TABLES[key] = cut(self.projected())
+        return _TABLES[key]
+
+    def projected(self) -> DataFrame:
         from palimpsest.operators.projection import effective_spine
 
         return effective_spine(self.segments, self.corrections.unionByName(self.prunes), self.superseded)

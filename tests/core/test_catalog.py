@@ -8,8 +8,7 @@ import pytest
 from palimpsest.catalog.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: The rest is compared by the driver at a larger scale.
-SOME = [n for i, n in enumerate(sorted(ORACLE_SQL)) if i % 4 == 0 or n.startswith(("prj_01", "agg_08_neg"))]
+SOME = sorted(ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
