@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.catalog.views import Views, with_views
 from palimpsest.functions import text as T
 from palimpsest.functions import words as FW
+from palimpsest.lineage import shared_folder
 from palimpsest.operators import intervals, overlay, planners, projection, proposals, selectors, signals, spans, stats, transfer, verdicts
 from palimpsest.plans import commands
 from palimpsest.sources import readers
@@ -170,6 +172,20 @@ def _(v: Views) -> DataFrame:
     return overlay.speaker_entities(rows).select("id", "canonical_name", "sort_name")
 
 
+@query("src_15_proposal_set", "SELECT proposal_id, label, start_time, end_time, CAST(source_id AS DOUBLE) AS score, tier FROM fix_proposal")
+def _(v: Views) -> DataFrame:
+    """All proposals as one set among others: an older one, one of another format, one whose manifest is broken, and one with a broken line for another recording."""
+    root = f"{shared_folder(v.spark)}/sets-{uuid.uuid4().hex}"
+    rows = v.view("fix_proposal").select("proposal_id", "label", "start_time", "end_time", F.col("source_id").cast("double").alias("score"), "tier")
+    for name, at, fmt, media in (("new", 2.0, readers.PROPOSAL_FORMAT, "m"), ("old", 1.0, readers.PROPOSAL_FORMAT, "m"), ("other", 3.0, "another-format", "m"), ("torn", 4.0, readers.PROPOSAL_FORMAT, "n")):
+        readers.save_manifest(v.spark, f"{root}/proposals/{name}/manifest.json", {"format": fmt, "proposal_set_id": name, "created_at": at, "source": {"source_id": media}, "files": {"proposals": "rows.jsonl"}})
+    rows.write.json(f"{root}/proposals/new/rows.jsonl")
+    v.spark.createDataFrame([("{broken",)], "value string").write.text(f"{root}/proposals/torn/rows.jsonl")
+    if readers.find_proposal_set(v.spark, root, source_id="n") is not None:
+        raise ValueError("a broken set was taken")
+    return readers.find_proposal_set(v.spark, root, source_id="m")[1].select("proposal_id", "label", "start_time", "end_time", "score", "tier")
+
+
 @query("src_18_alignment_words", "SELECT d.doc_id AS source_id, 10e0 * (d.doc_id % 3) + (w.i * 8 - 8) / 16e0 AS s, 10e0 * (d.doc_id % 3) + (w.i * 8 - 1) / 16e0 AS e, w.x AS text FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, string_split(text, ' ')[i] AS x) w WHERE d.text <> '' AND d.doc_id % 5 <> 0")
 def _(v: Views) -> DataFrame:
     docs = v.sql("SELECT doc_id, text FROM documents")
@@ -538,6 +554,20 @@ def _(v: Views) -> DataFrame:
     return _extraction(v).vocabulary
 
 
+@query("agg_09_events", f"SELECT CASE e.kind WHEN 'insert' THEN 'labeled_span' ELSE 'speech_overlay' END AS kind, e.source_id, s.title AS source_title, s.content_hash AS source_content_hash, event_id AS id, label, start_time, end_time, 'train' AS split FROM ({_EVENTS}) e JOIN fix_source s ON s.source_id = e.source_id WHERE reason IS NULL")
+def _(v: Views) -> DataFrame:
+    sources = v.view("fix_source").select(F.col("source_id").alias("id"), "title", F.lit(None).cast("string").alias("path"), "content_hash")
+    return commands.dataset_events(_extraction(v), sources).select("kind", "source_id", "source_title", "source_content_hash", "id", "label", "start_time", "end_time", "split")
+
+
+@query(
+    "agg_09_regions",
+    f"SELECT 'speech' AS kind, source_id, start_time, end_time FROM ({_SPEECH}) UNION ALL SELECT 'negative', * FROM (WITH clipped AS (SELECT o.source_id, greatest(start_time, 0) AS s, least(end_time, watermark) AS e FROM (SELECT source_id, start_time, end_time FROM own_span UNION ALL SELECT source_id, start_time, end_time FROM ({_SPEECH})) o JOIN own_eligible g ON g.source_id = o.source_id WHERE watermark > 0 AND least(end_time, watermark) > greatest(start_time, 0))" + _GAPS + ")",
+)
+def _(v: Views) -> DataFrame:
+    return commands.dataset_regions(_extraction(v)).drop("skeleton_hash")
+
+
 # ---- projection
 
 

@@ -201,6 +201,24 @@ def apply_decisions(store: OverlayStore, tables: dict[str, DataFrame], session_i
     store.append("correction", rows)
 
 
+def _skeleton():
+    return F.when(F.col("spine") != LEGACY, F.col("spine")).alias("skeleton_hash")
+
+
+def dataset_events(got: spans.Extraction, sources: DataFrame) -> DataFrame:
+    """The examples of an extraction as rows of a dataset, with their source and where they come from."""
+    known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.col("path").alias("source_path"), F.col("content_hash").alias("source_content_hash"))
+    provenance = F.struct(F.lit("real").alias("tag"), F.col("session_ids").alias("sessions"), "op_ids").alias("provenance")
+    kind = F.when(F.col("kind") == "insert", "labeled_span").otherwise("speech_overlay").alias("kind")
+    return got.examples.join(known, "source_id", "left").select(kind, "source_id", "source_title", "source_path", "source_content_hash", _skeleton(), F.col("event_id").alias("id"), "segment_id", "label", "text", "speech", "start_time", "end_time", F.lit("train").alias("split"), provenance)
+
+
+def dataset_regions(got: spans.Extraction) -> DataFrame:
+    """What is speech and what is nothing, below the watermarks."""
+    rows = lambda df, kind: df.select(F.lit(kind).alias("kind"), "source_id", _skeleton(), "start_time", "end_time")
+    return rows(got.speech, "speech").unionByName(rows(got.negatives, "negative"))
+
+
 def extract(spark: SparkSession, root: str, out: str, source: str | None = None, purposes: list[str] | None = None, rendition: str | None = None) -> dict[str, Any]:
     """The gated dataset of all eligible spines: events and regions as JSON lines below `out`, and a manifest, which is returned."""
     tables = load_tables(spark, root)
@@ -212,13 +230,8 @@ def extract(spark: SparkSession, root: str, out: str, source: str | None = None,
         segments = selectors.spine(segments, renditions.join(chosen, "source_id", "left_semi"), rendition)
     segments = segments.withColumn("spine", projection.spine_key())
     got = spans.Extraction(segments, tables["correction"], superseded_of(tables), tables["gate"].join(chosen, "source_id", "left_semi"), overlay.sessions_for(overlay.latest_rows(tables["session"]), purposes))
-    sources = tables["source"].select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.col("path").alias("source_path"), F.col("content_hash").alias("source_content_hash"))
-    skeleton = F.when(F.col("spine") != LEGACY, F.col("spine")).alias("skeleton_hash")
-    events = got.examples.join(sources, "source_id", "left")
-    provenance = F.struct(F.lit("real").alias("tag"), F.col("session_ids").alias("sessions"), "op_ids").alias("provenance")
-    events = events.select(F.when(F.col("kind") == "insert", "labeled_span").otherwise("speech_overlay").alias("kind"), "source_id", "source_title", "source_path", "source_content_hash", skeleton, F.col("event_id").alias("id"), "segment_id", "label", "text", "speech", "start_time", "end_time", F.lit("train").alias("split"), provenance)
+    events, regions = dataset_events(got, tables["source"]), dataset_regions(got)
     events.write.mode("errorifexists").json(f"{out}/events.jsonl")
-    regions = got.speech.select(F.lit("speech").alias("kind"), "source_id", skeleton, "start_time", "end_time").unionByName(got.negatives.select(F.lit("negative").alias("kind"), "source_id", skeleton, "start_time", "end_time"))
     regions.write.mode("errorifexists").json(f"{out}/regions.jsonl")
     kinds = dict(spark.read.json(f"{out}/regions.jsonl").groupBy("kind").count().collect()) if not regions.isEmpty() else {}
     vocabulary = {r["label"]: r["n"] for r in got.vocabulary.collect()}  # one row a class

@@ -81,10 +81,12 @@ def find_proposal_set(spark: SparkSession, root: str, content_hash: str | None =
     file = f"{manifest['path'].rsplit('/', 1)[0]}/{(manifest['files'] or {}).get('proposals', 'proposals.jsonl')}"
     shape = "proposal_id string, label string, start_time double, end_time double, score double, tier int"
     try:
-        data = spark.read.schema(shape).option("mode", "FAILFAST").json(file).withColumn("tier", F.coalesce("tier", F.lit(1)))
-        data.write.format("noop").mode("overwrite").save()  # reads every line once, on the executors
+        rows = spark.read.schema(f"{shape}, torn string").option("columnNameOfCorruptRecord", "torn").json(file)
+        if rows.where("torn IS NOT NULL").select("torn", "proposal_id").take(1):  # every line is parsed once, on the executors
+            return None
     except PySparkException:
         return None
+    data = rows.drop("torn").withColumn("tier", F.coalesce("tier", F.lit(1)))
     return manifest, data.withColumn("source_id", F.lit((manifest["source"] or {}).get("source_id")))
 
 

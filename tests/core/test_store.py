@@ -152,6 +152,19 @@ def test_manifests_keep_paths_of_the_workspace_relative(spark, root):
     assert readers.store_path({"capabilities": {"g": {"db_path": "/x"}}}, "g") == "/x" and readers.store_path({}, "g", "/y") == "/y"
 
 
+def test_audio_slices_come_from_ffmpeg(tmp_path, monkeypatch):
+    tool = tmp_path / "ffmpeg"
+    tool.write_text("#!/bin/sh\nfor x; do last=$x; done\necho \"$@\" > " + str(tmp_path / "args") + "\nprintf abcd\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert readers.audio_slice("/talk.wav", -1.0, 2.5) == b"abcd"
+    args = (tmp_path / "args").read_text().split()
+    assert "/talk.wav" in args and "16000" in args
+    tool.write_text("#!/bin/sh\nexit 3\n")
+    with pytest.raises(RuntimeError):
+        readers.audio_slice("/talk.wav", 0.0, 1.0)
+
+
 def test_view_state_is_merged(spark, root):
     assert readers.view_state(spark, f"{root}/view.json") == {}
     readers.save_view_state(spark, f"{root}/view.json", "src", 4, speed=1.5)
