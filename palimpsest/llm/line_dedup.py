@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import dealt_join, quoted, saved, table, whole
+from palimpsest.llm.common import dealt_join, quoted, saved, small_batches, table, whole
 
 RUN, WINDOW, SOLO_CHARS = 2, 3, 64
 DEALT, DEALT_KEY, ROWS = 256, 20_000, 512
@@ -118,7 +118,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keys = [np.array(k, np.uint64).view(np.int64) for _, k, _ in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _, _ in rows], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([a for _, _, a in rows], pa.list_(pa.int32()))], schema=schema)
 
-    measured = saved(docs.select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(measure, "id long, hash long, lines binary, keys array<long>, at array<int>"))
+    with small_batches(df.sparkSession):
+        measured = saved(docs.select("id", F.xxhash64("text").alias("hash"), "text").mapInArrow(measure, "id long, hash long, lines binary, keys array<long>, at array<int>"))
     spots = measured.select("id", "hash", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("id", "hash", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
     first = saved(spots.groupBy("key").agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("id2"), F.col("first.hash").alias("hash2"), F.col("first.at").alias("at2"), "n"))
     later = dealt_join(spots, first, ["key"], ["id", "hash"], DEALT_KEY, rows="n").where("id <> id2 OR hash <> hash2 OR at <> at2")
@@ -149,7 +150,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     new = ["n_lines", "n_removed_lines"]
     stay = [c for c in df.columns if c.lower() not in new]
-    runs = saved(repeated_runs(df, id_col, text_col))
+    with small_batches(df.sparkSession):
+        runs = saved(repeated_runs(df, id_col, text_col))
     keyed = df.select(whole(df.select(*map(quoted, stay))).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
     joined = keyed.join(runs.hint("merge"), (F.col("own_id") == F.col("id")) & (F.col("own_hash") == F.col("hash")), "left").select("row", "runs")
     at = stay.index(text_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import folded_words, saved, scratch, table, whole
+from palimpsest.llm.common import folded_words, saved, scratch, small_batches, table, whole
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 BUCKET, PART, BATCH = 256, 1024, 512
@@ -242,7 +242,8 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_co
     Null and empty texts have fingerprint zero and link like any other. Null ids stay; a component of null ids only has a null
     component_id. Repeated rows stay, one result row each. An empty table gives an empty result; other columns of `df` are not read.
     """
-    fps = saved(fingerprints(df, k, id_col, text_col))
+    with small_batches(df.sparkSession):
+        fps = saved(fingerprints(df, k, id_col, text_col))
     return fps.join(labels(fps, radius), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -252,7 +253,8 @@ def keep_one(df: DataFrame, radius: int = RADIUS, k: int = SHINGLE, id_col: str
     Null ids come last. Of rows equal in id and text one stays. Links, components and winners are found on ids and
     fingerprints; texts move once, by the same sort-merge join at every size, to the rows that stay.
     """
-    fps = saved(fingerprints(df, k, id_col, text_col))
+    with small_batches(df.sparkSession):
+        fps = saved(fingerprints(df, k, id_col, text_col))
     ranked = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     won = fps.join(labels(fps, radius), "fp").groupBy("root", "id", "hash").agg(F.count("*").alias("rows"))
     won = saved(won.groupBy("root").agg(F.min_by(F.struct("id", "hash", "rows"), ranked).alias("w")).select("w.*"))
