@@ -10,14 +10,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import lineage
 from palimpsest.lineage import cut as saved
-from palimpsest.lineage import on_path, remove, scratch, shared_folder
+from palimpsest.lineage import remove, scratch, shared_folder
 
 __all__ = ["LOWER", "UPPER", "batches", "dealt_join", "folded_words", "lower_ascii", "on_path", "quoted", "remove", "saved", "scratch", "shared_folder", "small_batches", "small_side", "table", "whole", "words"]
 MOST_BROADCAST = 50_000
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers find this package, and get whole texts in batches of 2,000 rows, if the session has not chosen another size than Spark's 10,000."""
+    lineage.on_path(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     on_path(spark)
@@ -70,13 +81,12 @@ def whole(df: DataFrame, without: Iterable[str] = ()) -> Column:
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """What is written inside goes to Python in Arrow batches of `rows` rows at most: with whole texts in them, the default of 10,000 takes some 100 MB of each task, outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def small_side(written: DataFrame) -> DataFrame:
