@@ -17,6 +17,7 @@ from palimpsest.llm.common import on_path, remove, scratch, shared_folder, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a base rule nor the isolation forest rejects."""
+    on_path(spark)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest).where("kept").select(*docs.columns)
 
@@ -43,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in them."""
+    on_path(spark)
     return decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
 
 
