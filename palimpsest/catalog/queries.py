@@ -406,7 +406,7 @@ def _bench_sql(tail: str) -> str:
 
 
 def _spans(v: Views) -> DataFrame:
-    return spans.insert_spans(v.effective, v.corrections, v.superseded)
+    return spans.insert_spans(v.placed, v.corrections, v.superseded)
 
 
 @query("jon_04_verdicts")
@@ -433,7 +433,7 @@ ORACLE_SQL |= {
 
 @query("jon_05_wordless_donors", "SELECT source_id, id AS insert_id, label, start_time, end_time, rank FROM own_eff WHERE inserted AND label <> '' AND trim(text) = ''")
 def _(v: Views) -> DataFrame:
-    return transfer.wordless_donors(v.effective)
+    return transfer.wordless_donors(v.placed)
 
 
 @query("jon_05_word_bearing", "SELECT source_id, count(*) AS n FROM own_eff WHERE inserted AND label <> '' AND trim(text) <> '' GROUP BY source_id")
@@ -603,7 +603,7 @@ def _(v: Views) -> DataFrame:
 
 @query("prj_05_insert_runs", "SELECT source_id, pos, id FROM own_eff WHERE inserted")
 def _(v: Views) -> DataFrame:
-    return v.effective.where("is_inserted").select("source_id", "pos", "id")
+    return v.placed.where("is_inserted").select("source_id", "pos", "id")
 
 
 @query(
@@ -648,7 +648,7 @@ _BESIDE = "SELECT *, lead(id) OVER w AS n_id, lead(start_time) OVER w AS n_start
     f"""SELECT id, end_time + 0.125 AS own, CASE WHEN welded THEN n_id END AS other FROM (SELECT *, coalesce(abs(n_start - end_time) < 0.01, false) AS welded FROM ({_BESIDE})) WHERE end_time + 0.125 > start_time AND (NOT welded OR n_start + 0.125 < n_end)""",
 )
 def _(v: Views) -> DataFrame:
-    rows = planners.with_neighbours(v.effective).select("id", planners.plan_time_nudge("end", 0.125).alias("p")).where("p IS NOT NULL")
+    rows = planners.with_neighbours(v.placed).select("id", planners.plan_time_nudge("end", 0.125).alias("p")).where("p IS NOT NULL")
     return rows.select("id", F.col("p")[0]["new_time"].alias("own"), F.get("p", F.lit(1))["segment_id"].alias("other"))
 
 
@@ -659,7 +659,7 @@ CASE WHEN lo IS NULL AND hi IS NULL THEN 0 WHEN lo IS NULL THEN hi - 1 WHEN hi I
 FROM (SELECT *, n_start - end_time AS gap, CASE WHEN inserted AND abs(start_time - end_time) < 0.01 THEN rank END AS lo, CASE WHEN n_ins AND abs(n_start - end_time) < 0.01 THEN n_rank END AS hi FROM ({_BESIDE})) WHERE after_id IS NOT NULL AND (n_id IS NULL OR gap >= -0.01)""",
 )
 def _(v: Views) -> DataFrame:
-    rows = planners.with_neighbours(v.effective).select("id", planners.plan_chunk_insert().alias("p")).where("p IS NOT NULL")
+    rows = planners.with_neighbours(v.placed).select("id", planners.plan_chunk_insert().alias("p")).where("p IS NOT NULL")
     return rows.select("id", "p.after_id", "p.before_id", "p.start_s", "p.end_s", "p.rank")
 
 
@@ -669,7 +669,7 @@ def _(v: Views) -> DataFrame:
 FROM (SELECT *, least(0.01, (end_time - start_time) / 4) AS eps FROM ({_BESIDE})) WHERE end_time > start_time AND length(text) >= 12 AND rtrim(left(text, 12)) <> '' AND ltrim(substring(text, 13)) <> '' AND after_id IS NOT NULL""",
 )
 def _(v: Views) -> DataFrame:
-    rows = planners.with_neighbours(v.effective).where("length(text) >= 12").select("id", planners.plan_chunk_split(F.lit(12)).alias("p")).where("p IS NOT NULL")
+    rows = projection.with_texts(planners.with_neighbours(v.placed), v.segments, v.edits).where("length(text) >= 12").select("id", planners.plan_chunk_split(F.lit(12)).alias("p")).where("p IS NOT NULL")
     return rows.select("id", "p.after_id", "p.before_id", "p.left_text", "p.right_text", "p.split_s")
 
 
@@ -754,12 +754,12 @@ def _(v: Views) -> DataFrame:
 @query("pln_12_cursor_windows", "SELECT e.source_id, e.pos, e.id FROM own_eff e JOIN (SELECT source_id, count(*) AS n FROM own_eff GROUP BY 1) c ON c.source_id = e.source_id WHERE pos >= greatest(0, least(greatest(0, c.source_id % 9 - 2), n - 5)) AND pos < greatest(0, least(greatest(0, c.source_id % 9 - 2), n - 5)) + 5")
 def _(v: Views) -> DataFrame:
     cursors = v.segments.select("source_id").distinct().withColumn("cursor", F.col("source_id") % 9)
-    return planners.cursor_window(v.effective, cursors, 5).select("source_id", "pos", "id")
+    return planners.cursor_window(v.placed, cursors, 5).select("source_id", "pos", "id")
 
 
 @query("pln_13_seams", f"SELECT source_id, pos AS left_pos, id AS left_id, n_id AS right_id, greatest(start_time, end_time - 2) AS start_s, least(n_end, n_start + 2) AS end_s, n_start - end_time AS gap_s FROM ({_BESIDE}) WHERE n_id IS NOT NULL")
 def _(v: Views) -> DataFrame:
-    return planners.seams(v.effective)
+    return planners.seams(v.placed)
 
 
 @query(
@@ -769,7 +769,7 @@ SELECT *, last_value(CASE WHEN NOT inserted THEN audio END IGNORE NULLS) OVER (P
 SELECT e.*, CAST(greatest(0, (SELECT count(*) FROM fix_audio a WHERE a.source_id = e.source_id AND a.start <= e.start_time) - 1) AS INT) AS audio, coalesce((SELECT max(start) FROM fix_audio a WHERE a.source_id = e.source_id AND a.start <= e.start_time), 0) AS base FROM own_eff e))""",
 )
 def _(v: Views) -> DataFrame:
-    return planners.audio_chunks(v.effective, v.view("fix_audio").withColumn("wav_path", F.col("id"))).drop("wav_path")
+    return planners.audio_chunks(v.placed, v.view("fix_audio").withColumn("wav_path", F.col("id"))).drop("wav_path")
 
 
 @query("pln_17_gate_lines", "SELECT source_id, concat(extraction_status, ' · annotated_through ', coalesce(printf('%.1fs', annotated_through), 'none')) AS line FROM own_gate")
@@ -843,7 +843,7 @@ def _(v: Views) -> DataFrame:
 
 @query("cmd_13_export_proposals", "SELECT source_id, label, round(start_time, 4) AS start_time, round(end_time, 4) AS end_time, rank AS score, CAST(1 AS INT) AS tier FROM own_eff WHERE inserted AND label <> '' AND trim(text) = ''")
 def _(v: Views) -> DataFrame:
-    return commands.proposal_rows(transfer.wordless_donors(v.effective)).drop("proposal_id")
+    return commands.proposal_rows(transfer.wordless_donors(v.placed)).drop("proposal_id")
 
 
 @query(

@@ -1,9 +1,15 @@
-"""Transcript tables derived from the test tables. Each view is one SQL text for Spark and DuckDB alike, but for splitting lines."""
+"""Transcript tables derived from the test tables. Each view is one SQL text for Spark and DuckDB alike, but for splitting lines.
+
+In Spark, views that many others start from are read as tables."""
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,8 +153,24 @@ def with_views(dialect: str, sql: str, tables: str = "", more: dict[str, str] |
     return f"WITH {head}\n{sql}" if head else sql
 
 
+#: The same views for Spark, where only what is asked of a text goes through a join.
+NARROW = {
+    "fix_shift": r"""
+SELECT concat('b', a.source_id, '-', a.idx) AS id, a.source_id, a.id AS left_id, b.id AS right_id, CASE WHEN a.idx % 4 = 0 THEN 'push' ELSE 'pull' END AS direction, CASE WHEN a.idx % 4 = 0 THEN a.last_word ELSE b.first_word END AS moved
+FROM (SELECT id, source_id, idx, regexp_extract(text, '([^ ]+) *$', 1) AS last_word, text LIKE '%_ _%' AS two FROM fix_segment WHERE idx % 2 = 0) a
+JOIN (SELECT id, source_id, idx, regexp_extract(text, '^ *([^ ]+)', 1) AS first_word, text LIKE '%_ _%' AS two FROM fix_segment WHERE idx % 2 = 1) b ON b.source_id = a.source_id AND b.idx = a.idx + 1 WHERE CASE WHEN a.idx % 4 = 0 THEN a.two ELSE b.two END""",
+    "fix_overlay": VIEWS["fix_overlay"].replace("JOIN fix_segment s", "JOIN (SELECT id, left(text, 13) AS text, start_time FROM fix_segment WHERE length(text) > 20) s").replace(" AND length(s.text) > 20", ""),
+}
+#: Row by row what a table has; to write them would write its texts once more.
+PLAIN = ("fix_variant", "fix_spine")
 #: Views that are written as tables once for each session and data folder.
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
+#: Those that other views read as tables and never work out anew.
+BASE = ("fix_segment", "fix_correction")
+
+
+def _line_starts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else list(itertools.accumulate((len(x) + 1 for x in t.split("\n")[:-1]), initial=0)))
 
 
 class Views:
@@ -158,17 +180,41 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
         on_path(spark)
 
-    def sql(self, query: str) -> DataFrame:
-        names = [t for t in ("documents", "events", "labels", "part") if re.search(rf"\b{t}\b", with_views("spark", query))]
+    def sql(self, query: str, name: str = "") -> DataFrame:
+        known = re.findall(r"\bfix_\w+", with_views("spark", query))
+        more = NARROW | {b: f"SELECT * FROM {self._named(b)}" for b in BASE if b in known and b != name}
+        text = with_views("spark", query, more=more)
+        names = [t for t in ("documents", "events", "labels", "part") if re.search(rf"\b{t}\b", text)]
         tables = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in names)
-        return self.spark.sql(with_views("spark", query, tables))
+        return self.spark.sql(with_views("spark", query, tables, more))
+
+    def _named(self, name: str) -> str:
+        """A view's table under a name for SQL."""
+        table = self.view(name)
+        if not hasattr(table, "_name"):
+            table._name = f"kept_{uuid.uuid4().hex}"
+            table.createOrReplaceTempView(table._name)
+        return table._name
 
     def view(self, name: str) -> DataFrame:
+        if name in PLAIN:
+            return self.sql(f"SELECT * FROM {name}", name)
+        return self._kept(name, lambda: self._lines() if name == "fix_segment" else self.sql(f"SELECT * FROM {name}", name))
+
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _TABLES:
-            _TABLES[key] = cut(self.sql(f"SELECT * FROM {name}"))
+            _TABLES[key] = cut(build())
         return _TABLES[key]
 
+    def _lines(self) -> DataFrame:
+        """fix_segment, where a line starts being told with the split of its text: the sum over the lines before it would deal all texts by source."""
+        docs = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+        starts = F.pandas_udf(_line_starts, "array<bigint>")("text")
+        lines = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), starts.alias("cs"))).alias("idx", "l"))
+        lines = lines.select("source_id", "idx", "l.line", "l.cs")
+        return lines.selectExpr("concat('s', source_id, '-', idx) AS id", "source_id", "idx", "CASE WHEN idx % 7 = 3 THEN '' ELSE line END AS text", "cs / 16e0 AS start_time", "(cs + length(line)) / 16e0 AS end_time")
+
     @property
     def segments(self) -> DataFrame:
         return self.view("fix_segment")
@@ -240,18 +286,29 @@ class Views:
     def all_corrections(self) -> DataFrame:
         return self.corrections.unionByName(self.prunes).unionByName(self.overlays)
 
+    @property
+    def edits(self) -> DataFrame:
+        """The active corrections that the effective spine stands on, written once."""
+        from palimpsest.operators.projection import active_edits
+
+        return self._kept("edits", lambda: active_edits(self.corrections.unionByName(self.prunes), self.superseded))
+
+    @property
+    def placed(self) -> DataFrame:
+        """The effective spine without the texts of segments, written once: what asks for places, times and inserts only never meets the texts."""
+        from palimpsest.operators.projection import place
+
+        return self._kept("placed", lambda: place(self.segments, self.edits))
+
     @property
     def effective(self) -> DataFrame:
         """The effective spine, written once: what stands on it in one run of a workspace shares it."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, "effective")
-        if key not in _TABLES:
-            _TABLES[key] = cut(self.projected())
-        return _TABLES[key]
+        return self._kept("effective", self.projected)
 
     def projected(self) -> DataFrame:
-        from palimpsest.operators.projection import effective_spine
+        from palimpsest.operators.projection import with_texts
 
-        return effective_spine(self.segments, self.corrections.unionByName(self.prunes), self.superseded)
+        return with_texts(self.placed, self.segments, self.edits)
 
 
 def wide(rows: DataFrame, **payload: Column) -> DataFrame:

@@ -36,13 +36,11 @@ def coverage_flags(text="text", start="start_time", end="end_time"):
 def boundary_flags(text="text", following="next_text"):
     """What is odd between a text and the next one; both must have some."""
     left, right = F.col(text), F.col(following)
-    both = ~T.is_blank(left) & ~T.is_blank(right)
-    return F.array_compact(
-        F.array(
-            F.when(both & ~T.ends_terminal(left) & T.starts_upper(right), NO_TERMINAL),
-            F.when(both & T.ends_terminal(left) & T.starts_letter(right) & ~T.starts_upper(right), NOT_UPPER),
-        )
-    )
+    return _odd(~T.is_blank(left) & ~T.is_blank(right), T.ends_terminal(left), T.starts_upper(right), T.starts_letter(right))
+
+
+def _odd(both, ends, upper, letter):
+    return F.array_compact(F.array(F.when(both & ~ends & upper, NO_TERMINAL), F.when(both & ends & letter & ~upper, NOT_UPPER)))
 
 
 def divergence(segments: DataFrame, variants: DataFrame) -> DataFrame:
@@ -57,12 +55,20 @@ def divergence(segments: DataFrame, variants: DataFrame) -> DataFrame:
     return first.select("id", F.coalesce("v.text", F.lit("")).alias("text"), "v.transcriber", "v.variant_text")
 
 
-def signal_flags(segments: DataFrame, variants: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
-    """`segments` with flags: coverage, then boundary, then divergence, each once."""
-    rows = with_next(segments, ["text"], keys)
-    flags = [coverage_flags(), boundary_flags()]
-    if variants is not None:
-        rows = rows.join(divergence(segments, variants).select("id", F.lit(True).alias("_diverges")), "id", "left")
+def signal_flags(segments: DataFrame, variants: DataFrame | None = None, keys: list[str] = KEYS, diverging: DataFrame | None = None) -> DataFrame:
+    """`segments` with flags: coverage, then boundary, then divergence, each once. `diverging` (id) are the rows of divergence(), where they are known already.
+
+    What a boundary asks of the following text is told beside that text, so that no text goes to its neighbour.
+    """
+    text = F.col("text")
+    told = F.struct(T.is_blank(text).alias("blank"), T.starts_upper(text).alias("upper"), T.starts_letter(text).alias("letter"))
+    rows = scan(segments, keys, ["idx", "id"], {"_next": ("next", told)}, bucket_of("idx"))
+    follows = lambda name: F.coalesce(F.col("_next")[name], F.lit(name == "blank"))
+    flags = [coverage_flags(), _odd(~T.is_blank(text) & ~follows("blank"), T.ends_terminal(text), follows("upper"), follows("letter"))]
+    if variants is not None and diverging is None:
+        diverging = divergence(segments, variants)
+    if diverging is not None:
+        rows = rows.join(diverging.select("id", F.lit(True).alias("_diverges")), "id", "left")
         flags.append(F.array_compact(F.array(F.when(F.col("_diverges"), DIVERGES))))
     return rows.select(*segments.columns, F.array_distinct(F.concat(*flags)).alias("flags"))
 

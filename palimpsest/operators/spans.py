@@ -30,7 +30,9 @@ def insert_spans(effective: DataFrame, corrections: DataFrame, superseded: DataF
     """keys, insert_id, label, start_time, end_time, text, speech, session_id, session_ids, op_ids of the inserted chunks with final times; split halves are no spans."""
     meta = active(corrections.where("operation = 'chunk_insert'"), superseded).where(F.coalesce("rationale", F.lit("")) != SPLIT)
     meta = meta.select(F.col("id").alias("insert_id"), F.col("session_id"))
-    rows = effective.where("is_inserted AND start_time IS NOT NULL AND end_time IS NOT NULL").withColumnRenamed("id", "insert_id").join(meta, "insert_id").join(provenance(corrections), "insert_id")
+    rows = effective.where("is_inserted AND start_time IS NOT NULL AND end_time IS NOT NULL").withColumnRenamed("id", "insert_id").join(meta, "insert_id")
+    # every insert has a row there; a left join on unique ids goes where nothing asks for its columns
+    rows = rows.join(provenance(corrections), "insert_id", "left")
     return rows.select(*keys, "insert_id", "label", "start_time", "end_time", "text", (~T.is_blank(F.col("text"))).alias("speech"), "session_id", "session_ids", "op_ids")
 
 

@@ -63,7 +63,7 @@ class Bench:
     """verdicts (a row for each proposal of tier 1 or 2), missed (candidates without one), counts (by tier and verdict, with rates in tier 1)."""
 
     def __init__(self, proposals: DataFrame, inserts: DataFrame, window: tuple[float, float | None] = (0.0, None), tolerance: float = TOLERANCE, keys: list[str] = KEYS) -> None:
-        inserts = cut(inserts)
+        inserts = cut(inserts.select(*keys, "insert_id", "label", "start_time", "end_time"))
         pairs = cut(match(proposals, inserts, window, keys=keys))
         score = F.col("score") if "score" in proposals.columns else F.lit(None).cast("double")
         rows = proposals.withColumns({"tier": F.coalesce("tier", F.lit(1)).cast("int"), "score": score}).where("tier IN (1, 2)").select(*keys, "proposal_id", "label", "start_time", "end_time", "score", "tier")

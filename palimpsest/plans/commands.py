@@ -43,13 +43,14 @@ def review_sheet(segments: DataFrame, corrections: DataFrame, superseded: DataFr
 
     `prior` has content_hash and new_text of corrections of the same audio elsewhere, and segments a content_hash.
     """
-    items = signals.signal_flags(segments, variants).where(F.size("flags") > 0)
+    diverging = None if variants is None else cut(signals.divergence(segments, variants).select("id", "variant_text"))
+    items = signals.signal_flags(segments, diverging=diverging).where(F.size("flags") > 0)
     if markers is not None:
         items = signals.worklist(items, markers)
     current = overlay.latest_texts(corrections, superseded).select(F.col("segment_id").alias("_s"), F.col("payload.new_text").alias("_new"))
     rows = items.join(current, F.col("id") == F.col("_s"), "left").withColumn("text", F.coalesce("_new", "text")).drop("_s", "_new")
-    if variants is not None:
-        rows = rows.join(signals.divergence(segments, variants).select("id", "variant_text"), "id", "left")
+    if diverging is not None:
+        rows = rows.join(diverging, "id", "left")
     else:
         rows = rows.withColumn("variant_text", F.lit(None).cast("string"))
     if prior is not None and "content_hash" in rows.columns:
@@ -79,7 +80,8 @@ def gate_table(segments: DataFrame, gates: DataFrame) -> DataFrame:
 def spine_view(segments: DataFrame, corrections: DataFrame, superseded: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The effective spine as an editor shows it: pruned segments stay, marked as such, and is_marked, mark_classes, has_overlay, entity_id, split_group are told for each row."""
     keys = keys or ["source_id"]
-    rows = projection.effective_spine(segments, corrections, superseded, keys, withhold_prunes=True)
+    live = projection.active_edits(corrections, superseded)
+    rows = projection.place(segments, live, keys, withhold_prunes=True)
     anchor = F.col("payload.anchor")
     on = F.array_compact(F.array(anchor["segment_id"], anchor["boundary_after"], anchor["right_segment_id"]))
     marks = overlay.open_marks(corrections, superseded).select(F.explode(F.array_distinct(on)).alias("id"), F.col("payload.mark_class").alias("c"))
@@ -89,7 +91,8 @@ def spine_view(segments: DataFrame, corrections: DataFrame, superseded: DataFram
     groups = overlay.split_groups(overlay.active(corrections, superseded)).groupBy(F.col("insert_id").alias("id")).agg(F.array_sort(F.collect_list("member_id")).alias("split_group"))
     for part in (marks, voices, said, groups):
         rows = rows.join(part, "id", "left")
-    return rows.withColumns({"is_marked": F.col("mark_classes").isNotNull(), "has_overlay": F.coalesce("_voice", F.lit(False))}).drop("_voice")
+    rows = rows.withColumns({"is_marked": F.col("mark_classes").isNotNull(), "has_overlay": F.coalesce("_voice", F.lit(False))}).drop("_voice")
+    return projection.with_texts(rows, segments, live, keys)
 
 
 def proposal_rows(donors: DataFrame) -> DataFrame:

@@ -3,7 +3,14 @@
 import random
 import time
 
+import pytest
+
+from palimpsest.catalog.views import Views
+from palimpsest.lineage import cut, scratch
+from palimpsest.operators import projection as P
+from palimpsest.operators import writers as W
 from palimpsest.sources import readers
+from tests.core.helpers import SEGMENT, corrections, targets
 
 
 def _shuffled(spark):
@@ -32,3 +39,53 @@ def test_a_variant_text_is_dealt_once_and_not_for_each_slice(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {f"s{i}": ("a", text[i:], 0) for i in range(100)}
+
+
+def _spine(spark, n=200, size=10_000):
+    """Segments with texts that don't compress to less than half, with some edits of each kind."""
+    r = random.Random(2)
+    segs = cut(spark.createDataFrame([("src", f"s{i:03}", i, "".join(r.choices("abcdefghijklmnop", k=size)), float(i), i + 1.0) for i in range(n)], SEGMENT))
+    made = [W.replace_text("src", "s001", "new", "s"), W.insert_chunk("src", "s002", 3.0, 3.0, "s", label="i"), W.nudge_times("src", [{"segment_id": "s003", "edge": "end", "old_time": 4.0, "new_time": 4.5}], "s"), W.prune("src", ["s004"], "s")]
+    return segs, corrections(spark, *made), targets(spark)
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_effective_spine_deals_each_text_once(unbroadcast):
+    segs, made, dead = _spine(unbroadcast)
+    assert moved(unbroadcast, lambda: P.effective_spine(segs, made, dead)) < 3_000_000
+
+
+def test_places_are_found_without_texts(unbroadcast):
+    segs, made, dead = _spine(unbroadcast)
+    assert moved(unbroadcast, lambda: P.place(segs, P.active_edits(made, dead))) < 200_000
+    got = P.place(segs, P.active_edits(made, dead)).where("is_inserted OR pos < 2").orderBy("pos").select("pos", "id", "text").collect()
+    assert [tuple(r)[:2] for r in got][:2] == [(0, "s000"), (1, "s001")] and [r["text"] for r in got] == [None, None, ""]
+
+
+def test_lines_stay_with_their_document(spark, tmp_path):
+    r = random.Random(3)
+    texts = ["\n".join("".join(r.choices("abcdéfgh ", k=50)) for _ in range(100)) for _ in range(100)] + ["", "\n\n", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    assert moved(spark, lambda: Views(spark, str(tmp_path)).view("fix_segment")) < 100_000
+    got = {(x["source_id"], x["idx"]): (x["text"], x["start_time"] * 16, x["end_time"] * 16) for x in Views(spark, str(tmp_path)).segments.collect()}
+    for d, t in enumerate(texts):
+        at = 0
+        for i, line in enumerate(t.split("\n")):
+            assert got.pop((d, i)) == ("" if i % 7 == 3 else line, at, at + len(line))
+            at += len(line) + 1
+    assert not got
+
+
+def test_a_cut_table_is_not_written_again(spark):
+    table = cut(spark.range(3).toDF("x"))
+    assert cut(table) is table
+    with scratch(spark) as out:
+        held = cut(spark.range(3).toDF("x"))
+        kept = out(held)
+    assert kept is not held and kept.count() == 3
