@@ -728,8 +728,8 @@ _AT = "start_time + (end_time - start_time) * {0} / len"
 
 def _snap_input(v: Views) -> DataFrame:
     """Segments of three words or more. One in three has none of them aligned; one in three has all but every third, if no two of its words are the same; the others have all."""
-    rows = v.segments.where("end_time > start_time").withColumn("w", T.word_spans(F.col("text"))).where(F.size("w") >= 3)
-    at = lambda c: F.col("start_time") + (F.col("end_time") - F.col("start_time")) * c / F.length("text")
+    rows = v.segments.where("end_time > start_time").withColumns({"w": T.word_spans(F.col("text")), "n": F.length("text")}).where(F.size("w") >= 3)
+    at = lambda c: F.col("start_time") + (F.col("end_time") - F.col("start_time")) * c / F.col("n")
     timed = lambda words: F.transform(words, lambda x: F.struct(at(x["char_start"]).alias("s"), at(x["char_end"]).alias("e"), x["word"].alias("text")))
     forms = F.filter(F.transform("w", lambda x: T.normal_token(x["word"])), lambda x: x != "")
     differ = F.size(F.array_distinct(forms)) == F.size("w")

@@ -4,8 +4,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.catalog.views import Views
+from palimpsest.functions import text as T
+from palimpsest.functions import words as FW
 from palimpsest.lineage import cut, scratch
 from palimpsest.operators import projection as P
 from palimpsest.operators import writers as W
@@ -89,3 +92,33 @@ def test_a_cut_table_is_not_written_again(spark):
         held = cut(spark.range(3).toDF("x"))
         kept = out(held)
     assert kept is not held and kept.count() == 3
+
+
+def test_words_are_split_once_where_a_filter_asks_for_them(spark):
+    df = spark.createDataFrame([(" a  b c", 0), ("d", 1), (None, 2)], "text string, n int").withColumn("w", T.word_spans(F.col("text"))).where(F.size("w") >= 1)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [[tuple(w) for w in r["w"]] for r in df.orderBy("n").collect()] == [[(1, 2, "a"), (4, 5, "b"), (6, 7, "c")], [(0, 1, "d")]]
+
+
+def test_batches_of_snaps_equal_those_of_single_rows(spark):
+    r = random.Random(4)
+    rows = []
+    for n in range(300):
+        words = r.choices(["ab", "Cé", "d.", "ef", "g"], k=r.randrange(7))
+        start = None if n % 17 == 0 else float(r.randrange(4))
+        aligned = None if n % 11 == 0 else [(s := r.randrange(40) / 8, s + r.choice([0, 0.25, 1]), w) for w in r.choices([*words, "zz"], k=r.choice([len(words), r.randrange(7)]))]
+        i, j = sorted(r.choices(range(6), k=2))
+        rows.append((n, r.choice([" ", "  "]).join(words) if n % 13 else None, i, j, r.randrange(8), r.randrange(8), start, None if n % 19 == 0 else 5.0, aligned))
+    df = spark.createDataFrame(rows, "n int, text string, first_word int, last_word int, char_start int, char_end int, start_time double, end_time double, aligned array<struct<s: double, e: double, text: string>>").repartition(3)
+    snaps = {x["n"]: x for x in FW.snap_words(df).collect()}
+    facing = {side: {x["n"]: (x["neighbour_word"], x["neighbour_time"]) for x in FW.facing_bounds(df, side).collect()} for side in ("next", "prev", "none")}
+    kinds = set()
+    for n, text, i, j, c, d, start, end, aligned in rows:
+        aligned = aligned and [{"s": a[0], "e": a[1], "text": a[2]} for a in aligned]
+        want, got = FW.snap_span(text, i, j, start, end, aligned), snaps[n]
+        kinds.add(want and want.snap)
+        assert (got["start_s"], got["end_s"], got["snap"]) == (want[:3] if want else (None, None, None))
+        assert (got["words"] is None) == (want is None) and (want is None or [w.asDict() for w in got["words"]] == want.words)
+        for side, told in facing.items():
+            assert told[n] == (FW.facing_bound(text, c, d, side, start, end, aligned) or (None, None))
+    assert kinds == {None, "fa-word", "fa-partial", "estimated"}
