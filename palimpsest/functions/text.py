@@ -131,8 +131,26 @@ def reanchor(text: Column, part: Column, start: Column, end: Column) -> Column:
     The recorded offsets if they still hold, else the place nearest to the recorded start (the earliest of equally near ones, and
     the earliest of all where the start is null or negative).
     """
-    text = F.coalesce(text, F.lit(""))
-    same = (start >= 0) & (end > start) & (F.substring(text, start + 1, end - start) == part)
-    near = F.array_min(F.transform(places(text, part), lambda i: F.struct(F.when(start >= 0, F.abs(i - start)).otherwise(i).alias("d"), i.alias("i"))))
-    at = F.when(F.coalesce(same, F.lit(False)), start).otherwise(near["i"])
-    return F.when((F.length(part) > 0) & at.isNotNull(), F.struct(at.cast("int").alias("char_start"), (at + F.length(part)).cast("int").alias("char_end")))
+    return F.arrow_udf(_reanchored, "struct<char_start: int, char_end: int>").asNondeterministic()(F.coalesce(text, F.lit("")), part, start, end)
+
+
+def _reanchored(texts: pa.Array, parts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), parts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
+    at = [(_nearest(*row), row[1]) for row in rows]
+    return pa.array([None if i is None else {"char_start": i, "char_end": i + len(p)} for i, p in at], pa.struct([("char_start", pa.int32()), ("char_end", pa.int32())]))
+
+
+def _nearest(text: str, part: str | None, start: int | None, end: int | None) -> int | None:
+    """Where reanchor() finds a snapshot. Both searches are linear in the text; that to the left runs on reversed strings, since rfind is not."""
+    if not part:
+        return None
+    if start is None or start < 0:
+        at = text.find(part)
+        return None if at < 0 else at
+    if end is not None and end > start and text[start:end] == part:
+        return start
+    right = text.find(part, start)
+    before = text[: start - 1 + len(part)] if start else ""
+    left = before[::-1].find(part[::-1])
+    left = len(before) - len(part) - left if left >= 0 else -1
+    return None if left < 0 and right < 0 else right if left < 0 or 0 <= right and right - start < start - left else left

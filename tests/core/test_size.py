@@ -122,3 +122,19 @@ def test_batches_of_snaps_equal_those_of_single_rows(spark):
         for side, told in facing.items():
             assert told[n] == (FW.facing_bound(text, c, d, side, start, end, aligned) or (None, None))
     assert kinds == {None, "fa-word", "fa-partial", "estimated"}
+
+
+def test_reanchoring_is_linear_in_the_text(spark):
+    r = random.Random(6)
+    rows = [("".join(r.choices("ab", k=r.randrange(12))) if n % 9 else None, "".join(r.choices("ab", k=r.randrange(4))) if n % 8 else None, None if n % 7 == 0 else r.randrange(-2, 14), None if n % 6 == 0 else r.randrange(14)) for n in range(600)]
+    shape = "t string, p string, a int, b int"
+    told = lambda rows: [tuple(x) for x in spark.createDataFrame([(n, *x) for n, x in enumerate(rows)], f"n int, {shape}").select("n", T.reanchor(F.col("t"), F.col("p"), F.col("a"), F.col("b")).alias("r")).orderBy("n").select("r.char_start", "r.char_end").collect()]
+    for (t, p, a, b), got in zip(rows, told(rows), strict=True):
+        t = t or ""
+        places = [i for i in range(len(t)) if p and t.startswith(p, i)]
+        at = a if p and a is not None and b is not None and 0 <= a < b and t[a:b] == p else min(places, key=lambda i: (abs(i - a) if a is not None and a >= 0 else i, i), default=None)
+        assert got == ((None, None) if at is None else (at, at + len(p))), (t, p, a, b)
+    long = "x" * 1_000_000  # a substring for each place of it takes minutes
+    began = time.time()
+    assert told([(long + "aab", "ab", 5, 7), ("ab" + long, "ab", 1_000_000, 1_000_002)]) == [(1_000_001, 1_000_003), (0, 2)]
+    assert time.time() - began < 30
