@@ -340,8 +340,8 @@ step AS (SELECT key, 0::BIGINT AS n, []::VARCHAR[] AS leaders, ''::VARCHAR AS cl
 SELECT cluster, row_number() OVER (PARTITION BY key, cluster ORDER BY n) - 1 AS pos, w AS word FROM step WHERE n > 0 QUALIFY count(*) OVER (PARTITION BY key, cluster) > 1""".replace("\\\\p", "\\p"),
 )
 def _(v: Views) -> DataFrame:
-    words = v.sql("SELECT doc_id, text FROM documents").select("doc_id", F.posexplode(F.split(T.normal_words(F.col("text")), " ")).alias("n", "word"))
-    return signals.cluster_variants(words.withColumn("at", F.struct("doc_id", "n")).groupBy("word").agg(F.min("doc_id").alias("pos")))
+    words = v.sql("SELECT doc_id, text FROM documents").select("doc_id", F.explode(F.array_distinct(T.word_list(F.col("text")))).alias("word"))
+    return signals.cluster_variants(words.groupBy("word").agg(F.min("doc_id").alias("pos")))
 
 
 @query(

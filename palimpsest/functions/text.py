@@ -52,7 +52,12 @@ def starts_letter(text: Column) -> Column:
 
 def normal_words(text: Column) -> Column:
     """Lower-case runs of letters and letter-like numbers, joined by one space."""
-    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0), " ")
+    return F.array_join(word_list(text), " ")
+
+
+def word_list(text: Column) -> Column:
+    """The words of normal_words() as an array."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), 0)
 
 
 def normal_token(token: Column) -> Column:

@@ -86,8 +86,10 @@ def cluster_variants(words: DataFrame, word: str = "word", order: str = "pos", m
     open one; clusters of one are left out. Clusters never cross keys, so each key's distinct words are one task's work.
     """
     on_path(words.sparkSession)
-    rows = words.select(T.strip(F.col(word)).alias("word"), F.col(order).alias("at")).where("word <> ''")
-    rows = rows.groupBy("word").agg(F.min("at").alias("at")).withColumn("key", T.phonetic_key(F.col("word"))).where("key <> ''")
+    # the counts tie what is asked of a word to the words that are left: else these filters would go below the aggregation, to every place of a word
+    once = lambda rows: rows.groupBy("word").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    rows = once(words.select(F.col(word).alias("word"), F.col(order).alias("at"))).select(F.when(F.col("n") > 0, T.strip(F.col("word"))).alias("word"), "at")
+    rows = once(rows.where("word <> ''")).withColumn("key", F.when(F.col("n") > 0, T.phonetic_key(F.col("word")))).where("key <> ''")
 
     def lead(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaders = None, _Leaders(max_edits)

@@ -11,6 +11,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions import words as FW
 from palimpsest.lineage import cut, scratch
 from palimpsest.operators import projection as P
+from palimpsest.operators import signals
 from palimpsest.operators import writers as W
 from palimpsest.sources import readers
 from tests.core.helpers import SEGMENT, corrections, targets
@@ -138,3 +139,12 @@ def test_reanchoring_is_linear_in_the_text(spark):
     began = time.time()
     assert told([(long + "aab", "ab", 5, 7), ("ab" + long, "ab", 1_000_000, 1_000_002)]) == [(1_000_001, 1_000_003), (0, 2)]
     assert time.time() - began < 30
+
+
+def test_sounds_are_asked_of_distinct_words_only(spark):
+    words = spark.createDataFrame([(w, n) for n, w in enumerate(["Maier", " mayer", "Maier", "", "12", None, "zwei", "Meier", "mayer "])], "word string, pos int")
+    rows = signals.cluster_variants(words)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = "\n".join(plan[max(i for i, x in enumerate(plan) if "Aggregate" in x) + 1 :])  # what is done with each place of a word
+    assert "regexp_replace" not in below and "translate" not in below
+    assert sorted(tuple(r) for r in rows.collect()) == [("Maier", 0, "Maier"), ("Maier", 1, "mayer"), ("Maier", 2, "Meier")]
